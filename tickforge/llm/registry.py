@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, decontaminate, quality
+from tickforge.llm import chat, decontaminate, langid, linededup, packing, quality
 
 
 def queries() -> dict:
     return {
         "op2_chat_formatting": chat.chat_query,
+        "op4_line_dedup": linededup.line_query,
+        "op5_best_fit_packing": packing.packing_query,
         "op6_quality_rules": quality.quality_query,
+        "op8_language_id": langid.language_query,
         "op9_benchmark_decontamination": decontaminate.decontamination_query,
     }
 
