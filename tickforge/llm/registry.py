@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, decontaminate, langid, linededup, packing, quality
+from tickforge.llm import chat, decontaminate, jaccard, langid, linededup, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": jaccard.jaccard_query,
         "op2_chat_formatting": chat.chat_query,
         "op4_line_dedup": linededup.line_query,
         "op5_best_fit_packing": packing.packing_query,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.CHAT_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.JACCARD_SQL, "op2_chat_formatting": chat.CHAT_SQL}
