@@ -69,7 +69,7 @@ def quality(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS)
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     table = scratch.save(features(docs.select("doc_id", "text")), "features")
-    trusted = labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 AND x = 0").select(F.col("doc_id").alias("trusted_id"))
+    trusted = labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 AND x = 0").select(F.col("doc_id").alias("trusted_id")).hint("merge")
     by_doc = table.select("doc_id", "buckets").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
     counted = by_doc.select(F.col("trusted_id").isNotNull().cast("long").alias("is"), F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is").alias("target"))
     found = {r["bucket"]: (r["raw"], r["target"]) for r in counted.collect()}  # BUCKETS rows at most
