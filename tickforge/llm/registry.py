@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, debruijn, decontaminate, jaccard, langid, linededup, packing, quality, substrings
+from tickforge.llm import chat, debruijn, decontaminate, jaccard, langid, linededup, packing, pii, quality, substrings
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_substring_dedup": debruijn.debruijn_query,
         "op8_language_id": langid.language_query,
         "op9_benchmark_decontamination": decontaminate.decontamination_query,
+        "op10_pii": pii.pii_query,
     }
 
 
