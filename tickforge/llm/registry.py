@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tickforge.llm import chat, debruijn, decontaminate, jaccard, langid, linededup, packing, pii, quality, substrings
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_language_id": langid.language_query,
         "op9_benchmark_decontamination": decontaminate.decontamination_query,
         "op10_pii": pii.pii_query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
