@@ -37,24 +37,25 @@ def from_events(events: DataFrame) -> DataFrame:
 class TickSimConfig:
     """Parameters of the simulator."""
 
+    # The defaults that published results rest on.
     n_ticks: int = 4_000_000
-    start: str = "2019-01-02 09:30:00"
+    start: str = "2021-01-04 00:00:00"
     p0: float = 100.0
-    phi: float = 0.9998
-    sigma_i: float = 0.02
-    a: float = 0.035
-    c: float = 0.15
+    phi: float = 0.995
+    sigma_i: float = 1.0
+    a: float = 0.030
+    c: float = 0.22
     eps: float = 0.02
-    mu_v: float = 3.0
-    s_v: float = 0.8
-    b_v: float = 0.25
-    lam: float = 1.5e-6
-    spread: float = 4e-4
-    sigma_bar: float = 1.2e-4
-    vol_phi: float = 0.9999
-    vol_sigma: float = 0.01
-    mean_interarrival: float = 8.0
-    seed: int = 42
+    mu_v: float = 4.0
+    s_v: float = 0.85
+    b_v: float = 0.12
+    lam: float = 7.0e-6
+    spread: float = 5.0e-4
+    sigma_bar: float = 1.1e-4
+    vol_phi: float = 0.9995
+    vol_sigma: float = 0.012
+    mean_interarrival: float = 26.0
+    seed: int = 20211231
 
     def as_dict(self) -> dict:
         return asdict(self)
