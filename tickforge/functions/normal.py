@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _N = NormalDist()
 
@@ -20,7 +21,7 @@ def quantile(p: float) -> float:
     return _N.inv_cdf(p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _cdf(x: pd.Series) -> pd.Series:
     from math import erfc
 

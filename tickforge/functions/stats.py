@@ -5,16 +5,19 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickforge.functions.normal import cdf, quantile
 
-_W = Window.partitionBy("symbol").orderBy("us")
 _EULER = 0.5772156649015329
 YEAR_US = 365.25 * 86_400e6
 
 
+def _w() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("us")
+
+
 def periods_per_year(given: float | None = None) -> Column:
     """Rows a year over the span of us."""
     if given is not None:
@@ -74,10 +77,10 @@ def drawdowns(path: DataFrame, dollars: bool = False) -> DataFrame:
     Depth is relative (or absolute); until_us is the next such mark's start, or the end
     of the path for the last one - not the recovery.
     """
-    hwm = F.max("equity").over(_W.rowsBetween(Window.unboundedPreceding, 0))
+    hwm = F.max("equity").over(_w().rowsBetween(Window.unboundedPreceding, 0))
     g = path.select("symbol", "us", "equity", hwm.alias("hwm")).groupBy("symbol", "hwm").agg(F.min("equity").alias("low"), F.min("us").alias("us"))
     end = path.groupBy("symbol").agg(F.max("us").alias("_end"))
-    d = g.where("hwm > low").join(end, "symbol").withColumn("until_us", F.coalesce(F.lead("us").over(_W), F.col("_end")))
+    d = g.where("hwm > low").join(end, "symbol").withColumn("until_us", F.coalesce(F.lead("us").over(_w()), F.col("_end")))
     depth = F.col("hwm") - F.col("low") if dollars else 1 - F.col("low") / F.col("hwm")
     return d.select("symbol", "us", depth.alias("drawdown"), "until_us")
 
@@ -87,8 +90,8 @@ def bet_timing(path: DataFrame, first_flat: bool = True) -> DataFrame:
 
     first_flat: a flat first row counts as an end too, which bet counts rely on.
     """
-    p, before = F.col("position"), F.lag("position").over(_W)
-    rows = path.withColumn("_before", before).withColumn("_last", F.lead("us").over(_W).isNull())
+    p, before = F.col("position"), F.lag("position").over(_w())
+    rows = path.withColumn("_before", before).withColumn("_last", F.lead("us").over(_w()).isNull())
     flat = (p == 0) & ((F.col("_before") != 0) | (F.col("_before").isNull() & F.lit(first_flat)))
     flip = p * F.col("_before") < 0
     return rows.where(F.coalesce(flat, F.lit(False)) | F.coalesce(flip, F.lit(False)) | F.col("_last")).drop("_before", "_last")
@@ -113,7 +116,7 @@ def holding_period(path: DataFrame) -> DataFrame:
             before = pos
         return pd.DataFrame({"symbol": [key[0]], "days": [spent / weight if weight else None]})
 
-    moved = path.withColumn("_b", F.lag("position").over(_W)).withColumn("_f", F.row_number().over(_W)).where("_f = 1 OR position <> _b")
+    moved = path.withColumn("_b", F.lag("position").over(_w())).withColumn("_f", F.row_number().over(_w())).where("_f = 1 OR position <> _b")
     return moved.select("symbol", "us", "position").groupBy("symbol").applyInPandas(run, "symbol string, days double")
 
 

@@ -51,7 +51,7 @@ def frac_diff_ffd(series: DataFrame, value: str, ds: list[float], threshold: flo
                 y = np.convolve(x, w[::-1], "valid")
                 keep = own[len(w) - 1 :]
                 out.append(pd.DataFrame({"symbol": key[0], "d": d, "seq": seq[len(w) - 1 :][keep], "value": y[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"symbol": [], "d": [], "seq": [], "value": []})
+        return pd.concat(out) if out else pd.DataFrame({"symbol": pd.Series([], dtype=object), "d": [], "seq": [], "value": []})
 
     return s.groupBy("symbol", "blk").applyInPandas(convolve, "symbol string, d double, seq long, value double")
 

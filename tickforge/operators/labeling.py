@@ -69,7 +69,8 @@ def _by_symbol(df: DataFrame, order: str, step, start, schema: str) -> DataFrame
                 got = step(state, r)
                 if got is not None:
                     out.append(got)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return df.repartition("symbol").sortWithinPartitions("symbol", order).mapInPandas(run, schema)
 
@@ -127,7 +128,7 @@ def add_vertical_barrier(events: DataFrame, bars: DataFrame, holding_us: int) ->
 
 def ordinal(events: DataFrame, bars: DataFrame, column: str, name: str, forward: bool) -> DataFrame:
     """events with the bar_seq at a time column: of the next bar at or after it, or of the last at or before."""
-    points = events.withColumnRenamed("us", "_us").withColumn("us", F.col(column))
+    points = events.withColumnRenamed("us", "_us").withColumn("us", F.col("_us" if column == "us" else column))
     out = as_of(points, bars.select("symbol", "us", F.col("bar_seq").alias(name)), [name], forward)
     return out.drop("us").withColumnRenamed("_us", "us")
 
