@@ -171,11 +171,11 @@ def get_events(bars: DataFrame, events: DataFrame, pt_sl: tuple[float, float], t
 
 def get_bins(events: DataFrame, bars: DataFrame, min_ret: float = 0.0) -> DataFrame:
     """(symbol, us, ret, t1, trgt[, side], bin) of the events with an end; prices are those of the next bar at or after each time."""
-    price = bars.select("symbol", "us", F.col("close").cast("double").alias("_p"))
+    price = bars.select("symbol", "us", F.col("close").cast("double").alias("_px"))
     e = events.where("t1 IS NOT NULL")
-    e = as_of(e, price, ["_p"], True).withColumnRenamed("_p", "_p0").withColumnRenamed("us", "_us").withColumn("us", F.col("t1"))
-    e = as_of(e, price, ["_p"], True).drop("us").withColumnRenamed("_us", "us")
-    ret = F.col("_p") / F.col("_p0") - 1
+    e = as_of(e, price, ["_px"], True).withColumnRenamed("_px", "_p0").withColumnRenamed("us", "_us").withColumn("us", F.col("t1"))
+    e = as_of(e, price, ["_px"], True).drop("us").withColumnRenamed("_us", "us")
+    ret = F.col("_px") / F.col("_p0") - 1
     if "side" in events.columns:
         e = e.withColumn("ret", ret * F.col("side")).withColumn("bin", F.when((F.col("ret") > min_ret) & (F.col("ret") > 0), 1).otherwise(0))
         return e.select("symbol", "us", "ret", "t1", "trgt", "side", "bin")

@@ -45,7 +45,8 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    return B.dollar_bars(tape(spark, d), DOLLARS)
+    """Dollar bars, kept: most queries read them along several branches, and an equal plan is kept once."""
+    return B.dollar_bars(tape(spark, d), DOLLARS).persist()
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -353,11 +354,11 @@ def labels_sql(sided: bool = False) -> str:
 
 
 def target(b: DataFrame) -> DataFrame:
-    return L.get_vol(b, 20, HORIZON)
+    return L.get_vol(b, 20, HORIZON).persist()
 
 
 def events(b: DataFrame, sided: bool = False) -> DataFrame:
-    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "bar_seq", "us"), b, HOLDING)
+    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "bar_seq", "us"), b, HOLDING).persist()
     if sided:
         e = e.withColumn("side", F.when(F.col("bar_seq") % 2 == 0, 1.0).otherwise(-1.0))
     return L.get_events(b, e.drop("bar_seq"), (1.0, 0.5), target(b), 0.01)
@@ -438,7 +439,7 @@ td AS MATERIALIZED (SELECT symbol, us, greatest(0, 1 - 0.5 / tot * tot + 0.5 / t
 
 
 def spans(b: DataFrame) -> DataFrame:
-    return L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING)
+    return L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING).persist()
 
 
 for _name in ("sa1_num_co_events", "sa2_concurrency_all_bars"):
@@ -497,7 +498,7 @@ POS = SPANS + ", po AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s
 
 
 def places(s, d) -> DataFrame:
-    return cv.positions(spans(bars(s, d)))
+    return cv.positions(spans(bars(s, d))).persist()
 
 
 @query("cv1_get_train_times", f"WITH {POS} SELECT symbol, us, t1 FROM po a WHERE NOT EXISTS (SELECT 1 FROM po x WHERE x.symbol = a.symbol AND x.pos % 10 = 4 AND a.us <= x.t1 AND a.t1 >= x.us)")
@@ -592,7 +593,7 @@ bets AS MATERIALIZED (SELECT * FROM (SELECT symbol, us, equity / lag(equity) OVE
 
 def path(s, d) -> DataFrame:
     e, b = signals(s, d)
-    return bt.backtest_path(sizing.avg_active_signals(e), b)
+    return bt.backtest_path(sizing.avg_active_signals(e), b).persist()
 
 
 @query("bt1_cost_model", f"WITH {BARS} SELECT symbol, bar_seq, round(0.0003 * (n_ticks / 10.0) + 0.0001 * sqrt(n_ticks / 10.0), 6) AS cost FROM b")
