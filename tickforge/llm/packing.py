@@ -1,8 +1,6 @@
 """Best-fit packing: documents as token sequences of bounded length.
 
-Tokens come from a public tokenizer file. Texts are cut at single spaces between
-words, where byte-level BPE never joins, so each distinct piece of text is
-tokenised once per worker. Packing is online: a fixed number of open bins, kept
+Tokens come from a public tokenizer file. Packing is online: a fixed number of open bins, kept
 as a bitset keyed by free space; a piece goes to the fullest bin it fits, and
 when all bins are open the fullest one closes.
 """
@@ -17,68 +15,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.kernels import CODES, SPACE, Prefix, slices
 from tickforge.llm.scratch import Scratch
 
 LENGTH, END_ID = 1024, 2
 #: Bins open at once in one partition.
 OPEN = 4096
-#: Distinct stretches of text whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1 << 20
+# How the byte-level tokenizer file splits text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = "It's 12 étés,  we\n\n\tsee ñandú 日本 <|endoftext|> ½  x'll \u00a0 end  "
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _worker: dict = {}
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable ones stand for themselves, the rest count up from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def tokenizer(path: str):
-    from tokenizers import Tokenizer
+    """A function from text to ids for a tokenizer file.
 
+    A byte-level vocabulary whose ids are its merge ranks is run by the quicker
+    library, which must agree on a probe of scripts, digits, spaces and
+    special strings; otherwise the file's own library does all.
+    """
     if path not in _worker:
-        _worker[path] = Tokenizer.from_file(path)
-        _worker[path].encode_special_tokens = True
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        plain = lambda text: own.encode(text, add_special_tokens=False).ids
+        special = {t.content for t in own.get_added_tokens_decoder().values()}
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in own.get_vocab().items() if token not in special and all(c in letters for c in token)}
+        quick = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _worker[path] = quick if quick(PROBE) == plain(PROBE) else plain
     return _worker[path]
 
 
-def stretches(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the stretches that can be tokenised alone, and the first stretch of each text."""
-    n = len(buf)
-    solid = ~SPACE[buf]
-    cut = np.zeros(n + 1, bool)
-    if n > 2:
-        cut[1 : n - 1] = (buf[1:-1] == 32) & solid[:-2] & solid[2:]
-    cut[offsets] = True
-    cut[n] = False
-    starts = np.flatnonzero(cut)
-    return starts, np.searchsorted(starts, offsets)
-
-
 def encode(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
-    """The token ids of each text, END_ID included; nulls are empty."""
-    t = tokenizer(path)
-    for _, _, buf, offsets in slices(texts):
-        n = len(buf)
-        memory = _worker.setdefault((path, "ids"), {})
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        starts, first = stretches(buf, offsets)
-        ends = np.append(starts[1:], n)
-        hashes = Prefix(CODES[buf]).hash(starts, ends) if n else np.zeros(0, np.uint64)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in memory]
-        raw = buf.tobytes()
-        got = t.encode_batch_fast([raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-        for i, e in zip(new, got, strict=True):
-            memory[keys[i]] = np.array(e.ids, np.uint32)
-        parts = [memory[k] for k in keys]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[inverse]
-        total = np.cumsum(each)
-        ids = flat[np.repeat(begin[inverse] - (total - each), each) + np.arange(int(total[-1]) if len(total) else 0)]
-        where = np.concatenate([[0], total])[first]
-        for i in range(len(offsets) - 1):
-            yield np.append(ids[where[i] : where[i + 1]], np.uint32(END_ID)).astype("<u4")
+    """The token ids of each whole text, END_ID included; nulls are empty."""
+    ids = tokenizer(path)
+    for text in texts:
+        yield np.array([*ids(text.as_py() or ""), END_ID], "<u4")
 
 
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, ids: bool = False) -> DataFrame:
