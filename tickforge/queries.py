@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions import microstructure as ms
 from tickforge.functions import stats
+from tickforge.functions.tables import kept
 from tickforge.functions.windows import rolling
 from tickforge.operators import backtest as bt
 from tickforge.operators import bars as B
@@ -45,8 +46,8 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    """Dollar bars, kept: most queries read them along several branches, and an equal plan is kept once."""
-    return B.dollar_bars(tape(spark, d), DOLLARS).persist()
+    """Dollar bars, written once: most queries read them, along several branches."""
+    return kept(spark, "bars", d, lambda: B.dollar_bars(tape(spark, d), DOLLARS))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -353,20 +354,24 @@ def labels_sql(sided: bool = False) -> str:
     return LABELS.replace("{side}", "side" if sided else "1").replace("{pt}", "1.0").replace("{sl}", "0.5" if sided else "1.0")
 
 
-def target(b: DataFrame) -> DataFrame:
-    return L.get_vol(b, 20, HORIZON).persist()
+def target(s, d) -> DataFrame:
+    return kept(s, "target", d, lambda: L.get_vol(bars(s, d), 20, HORIZON))
 
 
-def events(b: DataFrame, sided: bool = False) -> DataFrame:
-    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "bar_seq", "us"), b, HOLDING).persist()
-    if sided:
-        e = e.withColumn("side", F.when(F.col("bar_seq") % 2 == 0, 1.0).otherwise(-1.0))
-    return L.get_events(b, e.drop("bar_seq"), (1.0, 0.5), target(b), 0.01)
+def events(s, d, sided: bool = False) -> DataFrame:
+    def make():
+        b = bars(s, d)
+        e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "bar_seq", "us"), b, HOLDING)
+        if sided:
+            e = e.withColumn("side", F.when(F.col("bar_seq") % 2 == 0, 1.0).otherwise(-1.0))
+        return L.get_events(b, e.drop("bar_seq"), (1.0, 0.5), target(s, d), 0.01)
+
+    return kept(s, f"events{int(sided)}", d, make)
 
 
 @query("lb1_get_vol", f"WITH {VOL} SELECT symbol, bar_seq, us, round(trgt, 6) AS trgt FROM v")
 def _(s, d):
-    return rounded(target(bars(s, d)), "trgt")
+    return rounded(target(s, d), "trgt")
 
 
 @query("lb1_horizon_returns", f"WITH {RET} SELECT symbol, bar_seq, us, round(ret, 6) AS ret FROM h")
@@ -388,30 +393,30 @@ def _(s, d):
 @query("lb4_touches", f"WITH {labels_sql()} SELECT symbol, us, pt_us, sl_us FROM to_")
 def _(s, d):
     b = bars(s, d)
-    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING).join(target(b).select("symbol", "us", "trgt"), ["symbol", "us"]).where("trgt > 0.01")
+    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING).join(target(s, d).select("symbol", "us", "trgt"), ["symbol", "us"]).where("trgt > 0.01")
     return L.touches(b, e.withColumn("side", F.lit(1.0)), 1.0, 1.0).select("symbol", "us", "pt_us", "sl_us")
 
 
 @query("lb5_get_events", f"WITH {labels_sql()} SELECT symbol, us, t1, round(trgt, 6) AS trgt FROM le")
 def _(s, d):
-    return rounded(events(bars(s, d)), "trgt")
+    return rounded(events(s, d), "trgt")
 
 
 @query("lb5_get_events_meta", f"WITH {labels_sql(True)} SELECT symbol, us, t1, round(trgt, 6) AS trgt, CAST(side AS DOUBLE) AS side FROM le")
 def _(s, d):
-    return rounded(events(bars(s, d), True), "trgt")
+    return rounded(events(s, d, True), "trgt")
 
 
 @query("lb6_get_bins", f"WITH {labels_sql()} SELECT symbol, us, t1, round(ret, 6) AS ret, CASE WHEN ret < 0 THEN -1 ELSE 1 END AS bin FROM lb")
 def _(s, d):
     b = bars(s, d)
-    return rounded(L.get_bins(events(b), b).select("symbol", "us", "t1", "ret", "bin"), "ret")
+    return rounded(L.get_bins(events(s, d), b).select("symbol", "us", "t1", "ret", "bin"), "ret")
 
 
 @query("lb6_get_bins_meta", f"WITH {labels_sql(True)} SELECT symbol, us, t1, round(ret, 6) AS ret, CASE WHEN ret > 0.001 THEN 1 ELSE 0 END AS bin FROM lb")
 def _(s, d):
     b = bars(s, d)
-    return rounded(L.get_bins(events(b, True), b, 0.001).select("symbol", "us", "t1", "ret", "bin"), "ret")
+    return rounded(L.get_bins(events(s, d, True), b, 0.001).select("symbol", "us", "t1", "ret", "bin"), "ret")
 
 
 @query("lb7_drop_labels", f"""WITH {BARS}, x AS (SELECT symbol, bar_seq, CASE WHEN n_ticks > 26 THEN 1 WHEN n_ticks < 24 THEN -1 ELSE 0 END AS bin FROM b),
@@ -438,58 +443,62 @@ sw AS MATERIALIZED (SELECT symbol, us, t1, w * count(*) OVER (PARTITION BY symbo
 td AS MATERIALIZED (SELECT symbol, us, greatest(0, 1 - 0.5 / tot * tot + 0.5 / tot * cum) AS w FROM (SELECT symbol, us, sum(tW) OVER (PARTITION BY symbol) AS tot, sum(tW) OVER (PARTITION BY symbol ORDER BY us) AS cum FROM tw))"""
 
 
-def spans(b: DataFrame) -> DataFrame:
-    return L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING).persist()
+def spans(s, d) -> DataFrame:
+    def make():
+        b = bars(s, d)
+        return L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING)
+
+    return kept(s, "spans", d, make)
 
 
 for _name in ("sa1_num_co_events", "sa2_concurrency_all_bars"):
-    Q[_name] = lambda s, d: (lambda b: S.num_co_events(spans(b), b).select("symbol", "bar_seq", F.col("c").cast("long").alias("c")))(bars(s, d))
+    Q[_name] = lambda s, d: (lambda b: S.num_co_events(spans(s, d), b).select("symbol", "bar_seq", F.col("c").cast("long").alias("c")))(bars(s, d))
     SQL[_name] = f"WITH {SPANS} SELECT symbol, bar_seq, c FROM co"
 for _name in ("sa3_sample_tw", "sa4_avg_uniqueness"):
-    Q[_name] = lambda s, d: (lambda b: rounded(S.avg_uniqueness(spans(b), b), "tW"))(bars(s, d))
+    Q[_name] = lambda s, d: (lambda b: rounded(S.avg_uniqueness(spans(s, d), b), "tW"))(bars(s, d))
     SQL[_name] = f"WITH {SPANS} SELECT symbol, us, t1, round(tW, 6) AS tW FROM tw"
 
 
 @query("sa5_indicator", f"WITH {SPANS} SELECT l.symbol, l.us, b.bar_seq FROM l JOIN b ON b.symbol = l.symbol AND b.us BETWEEN l.us AND l.t1")
 def _(s, d):
     b = bars(s, d)
-    return S.indicator(spans(b), b)
+    return S.indicator(spans(s, d), b)
 
 
 @query("sa6_indicator_uniqueness", f"WITH {SPANS} SELECT symbol, us, round(tW, 6) AS tW FROM tw")
 def _(s, d):
     b = bars(s, d)
-    return rounded(S.indicator_uniqueness(S.indicator(spans(b), b)), "tW")
+    return rounded(S.indicator_uniqueness(S.indicator(spans(s, d), b)), "tW")
 
 
 @query("sa8_seq_bootstrap")
 def _(s, d):
     b = bars(s, d)
-    return S.seq_bootstrap(spans(b), b, [1, 2])
+    return S.seq_bootstrap(spans(s, d), b, [1, 2])
 
 
 @query("sa9_sample_w", f"WITH {SPANS} SELECT symbol, us, t1, round(w, 6) AS w FROM tw")
 def _(s, d):
     b = bars(s, d)
-    return rounded(S.sample_weights(spans(b), b, normalise=False), "w")
+    return rounded(S.sample_weights(spans(s, d), b, normalise=False), "w")
 
 
 @query("sa10_sample_weights", f"WITH {SPANS} SELECT symbol, us, t1, round(w, 6) AS w FROM sw")
 def _(s, d):
     b = bars(s, d)
-    return rounded(S.sample_weights(spans(b), b), "w")
+    return rounded(S.sample_weights(spans(s, d), b), "w")
 
 
 @query("sa11_time_decay", f"WITH {SPANS} SELECT symbol, us, round(w, 6) AS w FROM td")
 def _(s, d):
     b = bars(s, d)
-    return rounded(S.time_decay(S.avg_uniqueness(spans(b), b), 0.5), "w")
+    return rounded(S.time_decay(S.avg_uniqueness(spans(s, d), b), 0.5), "w")
 
 
 @query("sa12_combined_weights", f"WITH {SPANS}, c AS (SELECT symbol, us, sw.w * td.w AS w FROM sw JOIN td USING (symbol, us)) SELECT symbol, us, round(w * count(*) OVER (PARTITION BY symbol) / sum(w) OVER (PARTITION BY symbol), 6) AS w FROM c")
 def _(s, d):
     b = bars(s, d)
-    l = spans(b)  # noqa: E741
+    l = spans(s, d)  # noqa: E741
     return rounded(S.combined_weights(S.sample_weights(l, b), S.time_decay(S.avg_uniqueness(l, b), 0.5)), "w")
 
 
@@ -498,7 +507,7 @@ POS = SPANS + ", po AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s
 
 
 def places(s, d) -> DataFrame:
-    return cv.positions(spans(bars(s, d))).persist()
+    return kept(s, "places", d, lambda: cv.positions(spans(s, d)))
 
 
 @query("cv1_get_train_times", f"WITH {POS} SELECT symbol, us, t1 FROM po a WHERE NOT EXISTS (SELECT 1 FROM po x WHERE x.symbol = a.symbol AND x.pos % 10 = 4 AND a.us <= x.t1 AND a.t1 >= x.us)")
@@ -538,7 +547,7 @@ q AS (SELECT *, CAST(floor(n * 0.4) AS BIGINT) AS s0 FROM po),
 bl AS (SELECT symbol, ntile(3) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS fold, pos, us FROM q WHERE pos >= s0),
 f AS (SELECT symbol, fold, min(pos) AS a, max(pos) AS z, min(us) AS lo FROM bl GROUP BY ALL),
 o AS (SELECT q.symbol, f.fold, CASE WHEN q.pos BETWEEN a AND z THEN 'test' WHEN q.pos < a - CAST(floor(n * 0.05) AS BIGINT) AND q.t1 < lo THEN 'train' END AS role, q.pos FROM q JOIN f USING (symbol))
-SELECT symbol, CAST(fold AS INTEGER) AS fold, role, pos FROM o WHERE role IS NOT NULL""")
+SELECT symbol, CAST(fold AS INTEGER) AS fold, role, pos FROM o WHERE role IS NOT NULL AND EXISTS (SELECT 1 FROM o x WHERE x.symbol = o.symbol AND x.fold = o.fold AND x.role = 'train')""")
 def _(s, d):
     return cv.purged_walk_forward(places(s, d), 3, 0.05)
 
@@ -557,7 +566,7 @@ ac AS MATERIALIZED (SELECT pt.symbol, pt.us, coalesce(avg(signal), 0) AS positio
 
 def signals(s, d) -> tuple[DataFrame, DataFrame]:
     b = bars(s, d)
-    return spans(b).withColumn("signal", (F.floor(F.col("us") / 1000000) % 21 - 10) / 10.0), b
+    return spans(s, d).withColumn("signal", (F.floor(F.col("us") / 1000000) % 21 - 10) / 10.0), b
 
 
 for _name in ("bs2_active_signals", "bs3_avg_active_signals"):
@@ -592,8 +601,11 @@ bets AS MATERIALIZED (SELECT * FROM (SELECT symbol, us, equity / lag(equity) OVE
 
 
 def path(s, d) -> DataFrame:
-    e, b = signals(s, d)
-    return bt.backtest_path(sizing.avg_active_signals(e), b).persist()
+    def make():
+        e, b = signals(s, d)
+        return bt.backtest_path(sizing.avg_active_signals(e), b)
+
+    return kept(s, "path", d, make)
 
 
 @query("bt1_cost_model", f"WITH {BARS} SELECT symbol, bar_seq, round(0.0003 * (n_ticks / 10.0) + 0.0001 * sqrt(n_ticks / 10.0), 6) AS cost FROM b")
