@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import U, Prefix, Words, slices
-from tickforge.llm.repeats import ALL, ask, buckets_for, by_document, entries, flat, merged, sliding_argmin
+from tickforge.llm.repeats import ALL, PACKED, ask, buckets_for, by_document, dealt, entries, flat, grouped, merged, packed, sliding_argmin, unpacked
 from tickforge.llm.scratch import Scratch
 
 WINDOW, GRAM = 13, 7
@@ -39,13 +39,6 @@ def windows(buf: np.ndarray, offsets: np.ndarray, window: int, gram: int):
 
 def shared_minimisers(docs: DataFrame, n: int, window: int, gram: int) -> DataFrame:
     """(doc_id, s): the minimisers of a document that other documents have as well."""
-    shift = U(64 - max(1, (n - 1).bit_length()))
-
-    def rows(e: np.ndarray):
-        where = (e["s"] >> shift).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(e) else []
-        return [(int(where[i]), e[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(e)], strict=True)]
-
     def send(batches):
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
@@ -63,24 +56,18 @@ def shared_minimisers(docs: DataFrame, n: int, window: int, gram: int) -> DataFr
             alone = np.diff(np.append(first, len(e))) == 1
             direct = e[~np.repeat(alone, np.diff(np.append(first, len(e))))]
             # what several documents of the batch have is certain: one entry tells the others
-            out = [(*r, 0) for r in rows(e[first[alone]])] + [(*r, 1) for r in rows(e[first[~alone]])]
+            out = [(*r, 0) for r in dealt(e[first[alone]], n)] + [(*r, 1) for r in dealt(e[first[~alone]], n)]
             if len(direct):
-                out.append((int(direct["doc"][0]) % n, direct.tobytes(), 2))
+                out.append((int(direct["doc"][0]) % n, packed(direct), 2))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32()))], names=["bucket", "data", "kind"])
 
-    def reply(e: np.ndarray) -> pa.RecordBatch:
-        e = e[np.argsort(e["doc"], kind="stable")]
-        new = np.flatnonzero(np.concatenate([[True], e["doc"][1:] != e["doc"][:-1]])) if len(e) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(e)), pa.int32()), pa.array(np.ascontiguousarray(e["s"]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(e["doc"][new], pa.int64()), lists], names=["doc_id", "s"])
-
     def receive(batches):
         held: dict[int, list] = {}
         for batch in batches:
             for bucket, data, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                e = np.frombuffer(data, _ASKED)
+                e = unpacked(data, _ASKED)
                 if kind == 2:
-                    yield reply(e)
+                    yield grouped(e, n)
                 else:
                     held.setdefault(bucket, []).append((e, np.full(len(e), kind == 1)))
         for parts in held.values():
@@ -91,10 +78,10 @@ def shared_minimisers(docs: DataFrame, n: int, window: int, gram: int) -> DataFr
             size = np.diff(np.append(first, len(e)))
             several = np.maximum.reduceat(e["doc"], first) != np.minimum.reduceat(e["doc"], first)
             shared = np.repeat(several | np.logical_or.reduceat(many, first), size)
-            yield reply(e[shared & ~many])
+            yield grouped(e[shared & ~many], n)
 
     sent = docs.mapInArrow(send, "bucket long, data binary, kind int").repartition(n, "bucket")
-    return sent.mapInArrow(receive, "doc_id long, s array<long>")
+    return by_document(sent.mapInArrow(receive, PACKED), _ASKED, n, "doc_id long, s array<long>")
 
 
 def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, Scratch]:
@@ -102,8 +89,8 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     scratch = Scratch(docs.sparkSession, "debruijn")
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = buckets_for(docs)
-    shared = shared_minimisers(docs, n, window, gram).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("s"))
-    shared = scratch.save(shared, "shared")
+    shared = scratch.save(shared_minimisers(docs, n, window, gram), "shared")
+    scratch.drop()
 
     def edges(batch):
         ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
@@ -123,7 +110,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
         return np.concatenate(out) if out else entries([], [], [], [], [])
 
     asked = docs.join(shared, "doc_id").select("doc_id", "text", "s")
-    found = by_document(ask(asked, edges, n, True))
+    found = ask(asked, edges, n, True)
     found = found.select("doc_id", F.filter(F.arrays_zip("a", "code"), lambda z: z["code"].bitwiseAND(ALL) > 0)["a"].alias("a"))
     return scratch.save(found, "edges"), scratch
 

@@ -14,9 +14,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tickforge.llm.kernels import U, Prefix
+from tickforge.llm.kernels import Prefix, U, mix
 
 #: Documents for each bucket.
 PER_BUCKET = 2000
@@ -24,6 +23,23 @@ ALL, PART = 1, 2  # bits of a reply: the whole run repeats; parts of it may, so
 _ENTRY = np.dtype([("s", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("many", "<u1"), ("phase", "<u1")])
 _REPLY = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("code", "<u1")])
 REPLIES = "doc_id long, a array<int>, b array<int>, code array<int>"
+PACKED = "bucket long, data binary"
+
+
+def packed(e: np.ndarray) -> bytes:
+    """Records as byte planes: bytes of one significance lie together, so the shuffle's compression removes the empty ones."""
+    return e.view(np.uint8).reshape(len(e), e.dtype.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def dealt(e: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed records) for records in order of s."""
+    where = (e["s"] >> U(64 - max(1, (buckets - 1).bit_length()))).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(e) else []
+    return [(int(where[i]), packed(e[i:j])) for i, j in zip(cuts, [*cuts[1:], len(e)][: len(cuts)], strict=True)]
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -128,45 +144,56 @@ def answer(e: np.ndarray, smaller: bool) -> np.ndarray:
 
 def ask(source: DataFrame, make, buckets: int, smaller: bool) -> DataFrame:
     """(doc_id, a, b, code) for the runs that make(batch) gives as entries: those that repeat, wholly or maybe in part."""
-    shift = U(64 - max(1, (buckets - 1).bit_length()))
-
     def send(batches):
         for batch in batches:
             e, direct = settle(make(batch), smaller)
-            where = (e["s"] >> shift).astype(np.int64)  # already in order
-            cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(e) else []
-            rows = [(int(where[i]), 0, e[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(e)], strict=True)]
+            rows = [(bucket, 0, data) for bucket, data in dealt(e, buckets)]
             if len(direct):
-                rows.append((int(direct["doc"][0]) % buckets, 1, direct.tobytes()))
+                rows.append((int(direct["doc"][0]) % buckets, 1, packed(direct)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
 
     def receive(batches):
         held: dict[int, list] = {}
-        out = []
         for batch in batches:
             for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind:
-                    yield replied(np.frombuffer(data, _REPLY))
+                    yield grouped(unpacked(data, _REPLY), buckets)
                 else:
-                    held.setdefault(bucket, []).append(np.frombuffer(data, _ENTRY))
+                    held.setdefault(bucket, []).append(unpacked(data, _ENTRY))
         for parts in held.values():
-            out.append(answer(np.concatenate(parts), smaller))
-            yield replied(out.pop())
-
-    def replied(r: np.ndarray) -> pa.RecordBatch:
-        r = r[np.argsort(r["doc"], kind="stable")]
-        new = np.flatnonzero(np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]])) if len(r) else np.zeros(0, np.int64)
-        edges = pa.array(np.append(new, len(r)), pa.int32())
-        lists = [pa.ListArray.from_arrays(edges, pa.array(r[c].astype(np.int32))) for c in ("a", "b", "code")]
-        return pa.RecordBatch.from_arrays([pa.array(r["doc"][new], pa.int64()), *lists], names=["doc_id", "a", "b", "code"])
+            yield grouped(answer(np.concatenate(parts), smaller), buckets)
 
     sent = source.mapInArrow(send, "bucket long, kind int, data binary").repartition(buckets, "bucket")
-    return sent.mapInArrow(receive, REPLIES)
+    return by_document(sent.mapInArrow(receive, PACKED), _REPLY, buckets, REPLIES)
+
+
+def grouped(r: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Replies as one packed row for each group of documents."""
+    r = r[np.argsort(mix(r["doc"].astype(U)), kind="stable")]
+    where = (mix(r["doc"].astype(U)) >> U(64 - max(1, (groups - 1).bit_length()))).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(r) else []
+    rows = [(int(where[i]), packed(r[i:j])) for i, j in zip(cuts, [*cuts[1:], len(r)][: len(cuts)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
+
 
+def by_document(replies: DataFrame, kind: np.dtype, groups: int, schema: str) -> DataFrame:
+    """All replies of a document in one row of lists (as many as it has runs at most); the record's first field is its doc."""
+    names = [n for n in kind.names if n != "doc"]
 
-def by_document(replies: DataFrame) -> DataFrame:
-    """All replies of a document in one row (as many as it has runs at most)."""
-    return replies.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("a", "b", "code")))
+    def gather(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for group, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(group, []).append(data)
+        for parts in held.values():
+            r = np.concatenate([unpacked(x, kind) for x in parts])
+            r = r[np.argsort(r["doc"], kind="stable")]
+            new = np.flatnonzero(np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]]))
+            edges = pa.array(np.append(new, len(r)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, pa.array(r[c].view(np.int64) if kind[c] == np.dtype("<u8") else r[c].astype(np.int32))) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["doc"][new]), pa.int64()), *lists], names=["doc_id", *names])
+
+    return replies.repartition(groups, "bucket").mapInArrow(gather, schema)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

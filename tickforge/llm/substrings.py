@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import CODES, Prefix, slices
-from tickforge.llm.repeats import ALL, PART, anchored_runs, ask, buckets_for, by_document, entries, flat, merged, subruns
+from tickforge.llm.repeats import ALL, PART, anchored_runs, ask, buckets_for, entries, flat, merged, subruns
 from tickforge.llm.scratch import Scratch
 
 WINDOW, GRAM = 400, 201
@@ -68,13 +68,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, steps
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = buckets_for(docs)
-    found = scratch.save(by_document(ask(docs, first_level(window, gram, steps[0]), n, False)), "level0")
+    found = scratch.save(ask(docs, first_level(window, gram, steps[0]), n, False), "level0")
     have = [found]
     doubtful = lambda df: df.where(F.exists("code", lambda c: c.bitwiseAND(PART) > 0))
     texts = scratch.save(docs.join(doubtful(found).select("doc_id"), "doc_id", "left_semi"), "texts")
     for k, step in enumerate(steps, 1):
         open_ = texts.join(doubtful(found), "doc_id").select("doc_id", "text", "a", "b", "code")
-        found = scratch.save(by_document(ask(open_, next_level(window, step), n, False)), f"level{k}")
+        found = scratch.save(ask(open_, next_level(window, step), n, False), f"level{k}")
         have.append(found)
         scratch.drop()
     scratch.drop("texts")
