@@ -275,10 +275,10 @@ def _(s, d):
 
 # --- fractional differencing ---
 @query("fd1_get_weights", """WITH RECURSIVE w AS (SELECT 0 AS k, 1.0::DOUBLE AS v UNION ALL SELECT k + 1, -v * (0.4 - (k + 1) + 1) / (k + 1) FROM w WHERE k < 19)
-SELECT CAST(k AS BIGINT) AS lag, round(v, 9) AS weight FROM w""")
+SELECT CAST(k AS BIGINT) AS lag, round(v, 8) AS weight FROM w""")
 def _(s, d):
     w = fracdiff.get_weights(0.4, 20)[::-1]
-    return s.createDataFrame([(k, round(float(v), 9)) for k, v in enumerate(w)], "lag long, weight double")
+    return s.createDataFrame([(k, round(float(v), 8)) for k, v in enumerate(w)], "lag long, weight double")
 
 
 FFD = BARS + """,
@@ -286,10 +286,10 @@ wt AS (SELECT 0 AS k, 1.0::DOUBLE AS v UNION ALL SELECT k + 1, -v * (0.5 - k) /
 n AS (SELECT max(k) AS m FROM wt)"""
 
 
-@query("fd2_get_weights_ffd", "WITH RECURSIVE wt AS (SELECT 0 AS k, 1.0::DOUBLE AS v UNION ALL SELECT k + 1, -v * (0.5 - k) / (k + 1) FROM wt WHERE abs(-v * (0.5 - k) / (k + 1)) >= 0.001) SELECT CAST(k AS BIGINT) AS lag, round(v, 9) AS weight FROM wt")
+@query("fd2_get_weights_ffd", "WITH RECURSIVE wt AS (SELECT 0 AS k, 1.0::DOUBLE AS v UNION ALL SELECT k + 1, -v * (0.5 - k) / (k + 1) FROM wt WHERE abs(-v * (0.5 - k) / (k + 1)) >= 0.001) SELECT CAST(k AS BIGINT) AS lag, round(v, 8) AS weight FROM wt")
 def _(s, d):
     w = fracdiff.get_weights_ffd(0.5, 1e-3)[::-1]
-    return s.createDataFrame([(k, round(float(v), 9)) for k, v in enumerate(w)], "lag long, weight double")
+    return s.createDataFrame([(k, round(float(v), 8)) for k, v in enumerate(w)], "lag long, weight double")
 
 
 def log_close(s, d):
