@@ -19,12 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import Prefix, U, Words, mix, slices
+from tickforge.llm.repeats import buckets_for, dealt, flat, packed, unpacked
 from tickforge.llm.scratch import Scratch, components
 
 #: The sketch: so many counters, in blocks of so many, each up to 255 per task.
 CELLS, BLOCK = 1 << 22, 1 << 16
 #: Fragments that a set is cut into when overlaps are counted.
 FRAGMENTS = 4
+#: 64-bit words of a set's parity bitmap, which bounds how much two sets differ from below.
+PARITY = 8
+BITS = [f"p{k}" for k in range(PARITY)]
+_POSTING = np.dtype([("s", "<u8"), ("node", "<i8"), ("size", "<i4"), ("place", "<i4")])
 
 
 def sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +71,7 @@ def sketch(scratch: Scratch, docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, a, b, prefix): set size, 128-bit digest of the set, and its first hashes in the global order."""
+    """(doc_id, size, a, b, prefix, p0..): set size, 128-bit digest of the set, its first hashes in the global order, parity bitmap."""
 
     def sign(batches):
         order = levels.value
@@ -88,10 +93,14 @@ def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                 index = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(at[:-1], keep)
                 edges = pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32())
                 prefix = pa.ListArray.from_arrays(edges, pa.array(h[index].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(a), pa.array(b), prefix], names=["doc_id", "size", "a", "b", "prefix"])
+                width = 64 * PARITY
+                odd = (np.bincount(doc * width + (h >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
+                parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8")
+                bits = [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(a), pa.array(b), prefix, *bits], names=["doc_id", "size", "a", "b", "prefix", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long, prefix array<long>, {', '.join(b + ' long' for b in BITS)}")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -116,21 +125,88 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(cut, "node long, fragment int, grams array<long>")
 
 
-def can_link(percent: int) -> Column:
-    """Whether entries x and y of one n-gram leave room for enough overlap: by size, and by what follows their places."""
-    need = lambda total: (percent * total + 99 + percent) / (100 + percent)
-    short, long = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + F.least("x.place", "y.place")
-    return (100 * short >= percent * long) & ((100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size")))
+def postings(classes: DataFrame, buckets: int) -> DataFrame:
+    """(gram, node, size, place, c_node, c_size, c_place) for the prefix entries whose n-gram several classes have, with a centre.
 
+    The centre is the class that has the n-gram earliest. A batch of classes settles
+    its own groups around its own centre and asks with that alone, so a frequent
+    n-gram sends one entry a batch.
+    """
 
-def verified(scratch: Scratch, pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, is enough."""
+    def send(batches):
+        for batch in batches:
+            row, grams = flat(batch.column(2))
+            e = np.zeros(len(row), _POSTING)
+            first = np.searchsorted(row, np.arange(len(batch.column(0))))
+            e["s"], e["node"], e["size"] = grams.view(U), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            e["place"] = np.arange(len(row)) - first[row]
+            e = e[np.lexsort((e["node"], e["place"], e["s"]))]
+            lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]])) if len(e) else np.zeros(0, np.int64)
+            count = np.diff(np.append(lead, len(e)))
+            alone = count == 1
+            sure = np.repeat(~alone, count)
+            out = [(*r, 0) for r in dealt(e[lead[alone]], buckets)] + [(*r, 1) for r in dealt(e[lead[~alone]], buckets)]
+            if sure.any():
+                # the leader's own row comes with the reply
+                own = np.repeat(lead, count)[sure]
+                mine = np.flatnonzero(sure)
+                rest = mine != own
+                out.append((int(e["node"][mine[0]]) % buckets, packed(e[mine[rest]]) + packed(e[own[rest]]), 2))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32()))], names=["bucket", "data", "kind"])
+
+    def reply(e: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        cols = [e["s"].view(np.int64), e["node"], e["size"], e["place"], c["node"], c["size"], c["place"]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["gram", "node", "size", "place", "c_node", "c_size", "c_place"])
+
+    def receive(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, data, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == 2:
+                    yield reply(unpacked(data[: len(data) // 2], _POSTING), unpacked(data[len(data) // 2 :], _POSTING))
+                else:
+                    e = unpacked(data, _POSTING)
+                    held.setdefault(bucket, []).append((e, np.full(len(e), kind == 1)))
+        for parts in held.values():
+            e, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((e["node"], e["place"], e["s"]))
+            e, many = e[by], many[by]
+            lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]]))
+            count = np.diff(np.append(lead, len(e)))
+            keep = np.repeat((count > 1) | np.logical_or.reduceat(many, lead), count)
+            yield reply(e[keep], e[np.repeat(lead, count)[keep]])
+
+    sent = classes.select("node", "size", "prefix").mapInArrow(send, "bucket long, data binary, kind int").repartition(buckets, "bucket")
+    return sent.mapInArrow(receive, "gram long, node long, size int, place int, c_node long, c_size int, c_place int")
+
+
+def can_link(x: str, y: str, percent: int) -> Column:
+    """Whether two entries of one n-gram leave room for enough overlap: by size, and by what follows their places. x, y: name patterns."""
+    n, m, i, j = (F.col(p.format(c)) for c in ("size", "place") for p in (x, y))
+    rest = F.least(n - i, m - j) + F.least(i, j)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
+
+
+def near_parity(percent: int) -> Column:
+    """Whether the bitmaps of x and y differ in no more bits than linked sets can have elements that only one of them has."""
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in BITS), F.lit(0))
+    both = F.col("x_size") + F.col("y_size")
+    return (100 + percent) * apart <= (100 - percent) * both
+
+
+def linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, percent: int, tag: str) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over the fragments, is enough. Only their documents' texts are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    fragments = scratch.save(whole_sets(texts, n), f"fragments{tag}")
+    scratch.drop()
     left = pairs.join(fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")), "a")
     both = left.join(fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
-    counted = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), F.size("left").alias("n"), F.size("right").alias("m"))
-    total = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), (F.sum("n") + F.sum("m")).alias("both"))
-    return total.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left") + F.size("right")).alias("both"))
+    total = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.sum("both").alias("both"))
+    out = scratch.save(total.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), f"links{tag}")
+    scratch.drop(f"fragments{tag}")
+    return out
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -151,37 +227,39 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     levels = spark.sparkContext.broadcast(sketch(scratch, docs, n))
     signed = signatures(docs, levels, n, percent)
     # one class for each distinct set; its representative is the smallest id
-    member = scratch.save(signed.select("doc_id", "size", "a", "b", "prefix"), "signed")
+    member = scratch.save(signed, "signed")
+    # one class for each distinct set; its representative is the smallest id
     real = member.where("size > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("a", "b", "size").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    classes = scratch.save(classes, "classes")
-    entries = classes.select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("size").cast("int").alias("size"))
-    # only n-grams of several classes matter; each one's centre is the class that has it earliest
-    centre = entries.groupBy("gram").agg(F.min(F.struct("place", "node", "size")).alias("y"), F.count("*").alias("n")).where("n > 1")
-    entries = scratch.save(entries.join(centre, "gram"), "entries")
-    star = entries.select(F.struct("place", "node", "size").alias("x"), "y").where("x.node <> y.node").where(can_link(percent))
-    pair = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = scratch.save(pair(star), "first")
-    # all members of remaining lists may still have to be compared, so their sets are cut once
-    wanted = entries.select("node").distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node"])
-    fragments = scratch.save(whole_sets(texts, n), "fragments")
-    links = scratch.save(verified(scratch, first, fragments, classes, percent), "links1")
+    classes = real.groupBy("a", "b", "size").agg(F.min("doc_id").cast("long").alias("node"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in BITS))
+    classes = scratch.save(classes.select("node", "a", "b", F.col("size").cast("int").alias("size"), "prefix", *BITS), "classes")
+    slim = scratch.save(member.drop("prefix", *BITS), "members")
+    scratch.drop("signed")
+    entries = scratch.save(postings(classes, buckets_for(classes)), "entries")
+    ids = scratch.save(classes.select("node", "a", "b", F.col("size").cast("long").alias("size"), *BITS), "ids")
+    scratch.drop("classes")
+    pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    star = entries.where("node <> c_node").where(can_link("{}", "c_{}", percent))
+    first = scratch.save(pair(star, "node", "c_node"), "first")
+    links = linked(scratch, docs, first, n, percent, "1")
     label = scratch.save(components(scratch, links), "label1")
     named = entries.select("gram", "node", "size", "place").join(label, "node", "left").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("part"))
     open_ = named.groupBy("gram").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("gram")
-    named = scratch.save(named.join(open_, "gram", "left_semi"), "named")
-    x, y = named.alias("x"), named.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") < F.col("y.part")) & can_link(percent))
-    second = pair(across).join(first, ["a", "b"], "left_anti")
-    more = scratch.save(verified(scratch, second, fragments, classes, percent), "links2")
+    named = scratch.save(named.join(open_, "gram", "left_semi").join(ids.select("node", *BITS), "node"), "named")
+    scratch.drop("entries")
+    x, y = (named.select(*(F.col(c).alias(f"{k}_{c}") for c in named.columns)) for k in "xy")
+    across = x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_part") < F.col("y_part")) & can_link("x_{}", "y_{}", percent) & near_parity(percent))
+    second = scratch.save(pair(across, "x_node", "y_node").join(first, ["a", "b"], "left_anti"), "second")
+    scratch.drop("named", "first", "label1")
+    more = linked(scratch, docs, second, n, percent, "2")
     every = links.unionByName(more)
     label = scratch.save(components(scratch, every), "label2")
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    result = classes.select("node", "size", "a", "b").join(label, "node", "left").join(degree, "node", "left")
+    result = ids.join(label, "node", "left").join(degree, "node", "left")
     result = result.select("a", "b", "size", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     result = scratch.save(result, "result")
-    scratch.drop("entries", "first", "fragments", "links1", "links2", "label1", "label2", "named", "classes")
+    scratch.drop("second", "links1", "links2", "label2", "ids")
+    real = slim.where("size > 0 AND doc_id IS NOT NULL")
+    member = slim
     grouped = real.select("doc_id", "a", "b", "size").join(result, ["a", "b", "size"])
     rest = member.where("size = 0 OR doc_id IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return grouped.select("doc_id", "size", "component_id", "n_links").unionByName(rest).withColumnRenamed("size", "n_shingles")
