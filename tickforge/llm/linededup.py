@@ -8,38 +8,64 @@ dropped everywhere but at its first place.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.llm.kernels import U, Prefix, Words, slices
 from tickforge.llm.scratch import Scratch
 
 #: Documents in which a template must occur to be dropped; leading tokens that choose the leaf.
 DOCUMENTS, DEPTH = 10, 3
-FIELD = "<*>"
+FIELD, FIELD_HASH = "<*>", U(0x2A2A2A2A2A2A2A2A)
 
 
 def tokens_of(line: Column) -> Column:
     """The tokens of a line, those with a digit generalised."""
     parts = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(line.rlike("[0-9]"), F.transform(parts, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(parts)
+    return F.transform(parts, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, tokens, template) of every line with a word; template is a hash of count and tokens."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    t = lines.select("doc_id", "line", tokens_of(F.col("said")).alias("tokens")).where(F.size("tokens") > 0)
-    return t.withColumn("template", F.xxhash64(F.size("tokens"), "tokens"))
-
-
-def recurring(scratch: Scratch, lines: DataFrame, documents: int, depth: int) -> DataFrame:
-    """(template, group) of the templates that recur, alone or with others that differ in one token; group is what they share."""
-    # a document counts once: its equal templates meet before the count
-    once = lines.groupBy("template", "doc_id").agg(F.first("tokens").alias("tokens"))
-    df = scratch.save(once.groupBy("template").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).where("n > 1"), "counts")
+    """(doc_id, line, template) of every line with a word; template is a hash of the tokens in order."""
+
+    def find(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch.column(1)):
+                # every line is a text of its own here
+                breaks = np.flatnonzero(buf == 10) + 1
+                edges = np.unique(np.concatenate([offsets, breaks]))
+                w = Words(buf, edges)
+                digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
+                hashes = np.where(digits[w.ends] > digits[w.starts], FIELD_HASH, w.hashes)
+                some = np.flatnonzero(w.counts > 0)
+                template = Prefix(hashes).hash(w.first[some], w.first[some + 1])
+                doc = np.searchsorted(offsets, edges[some], "right") - 1
+                line = np.searchsorted(breaks, edges[some], "right") - np.searchsorted(breaks, offsets[doc], "right")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(line, pa.int32()), pa.array(template.view(np.int64))], names=["doc_id", "line", "template"])
+
+    return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, template long")
+
+
+def recurring(scratch: Scratch, docs: DataFrame, lines: DataFrame, documents: int, depth: int) -> DataFrame:
+    """(template, group) of the templates that recur, alone or with others that differ in one token; group is what they share.
+
+    Counts carry hashes and a first place only; the tokens of the few templates
+    that might merge are read again from their documents.
+    """
+    # equal templates of a document meet before they are counted
+    once = lines.groupBy("template", "doc_id").agg(F.min("line").alias("line"))
+    df = once.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("at")).where("n > 1")
+    df = scratch.save(df, "counts")
     own = df.where(F.col("n") >= documents).select("template", F.col("template").alias("group"))
-    few = df.where((F.col("n") < documents) & (F.size("tokens") > depth + 1))
+    few = df.where(F.col("n") < documents).groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "template", "n")).alias("few"))
+    texts = docs.join(few, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("few").alias("f"))
+    tokens = texts.select("f.template", "f.n", tokens_of(F.get("lines", F.col("f.line"))).alias("tokens")).dropDuplicates(["template"])
+    tokens = scratch.save(tokens.where(F.size("tokens") > depth + 1), "few")
+    scratch.drop()
     holes = F.explode(F.sequence(F.lit(depth), F.size("tokens") - 1))
-    wild = few.select("template", "n", "tokens", holes.alias("at"))
+    wild = tokens.select("template", "n", "tokens", holes.alias("at"))
     masked = F.transform("tokens", lambda w, i: F.when(i == F.col("at"), F.lit(FIELD)).otherwise(w))
     wild = wild.select("template", "n", F.xxhash64(F.size("tokens"), F.col("at"), masked).alias("group"))
     many = wild.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where((F.col("n") >= documents) & (F.col("k") > 1))
@@ -58,19 +84,21 @@ def drop_lines(docs: DataFrame, documents: int = DOCUMENTS, depth: int = DEPTH)
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     base = docs.drop("n_lines", "n_dropped")
-    lines = template_lines(base.where("doc_id IS NOT NULL").select("doc_id", "text"))
-    again = scratch.save(recurring(scratch, lines, documents, depth), "recurring")
-    marked = scratch.save(lines.select("doc_id", "line", "template").join(again, "template").select("doc_id", "line", "group"), "marked")
+    known = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    lines = scratch.save(template_lines(known), "lines")
+    again = scratch.save(recurring(scratch, known, lines, documents, depth), "recurring")
+    marked = scratch.save(lines.join(again, "template").select("doc_id", "line", "group"), "marked")
+    scratch.drop("lines", "counts", "few", "recurring")
     kept = marked.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     gone = marked.join(kept, "group").where(F.struct("doc_id", "line") != F.col("first"))
-    per = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
-    joined = base.join(per, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
+    per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone_lines"))
+    joined = base.join(per, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
     parts = F.split("text", "\n")
-    hit = F.col("gone").isNotNull() & F.col("text").isNotNull()
-    left = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("gone", i)), "\n")
+    hit = F.col("_gone_lines").isNotNull() & F.col("text").isNotNull()
+    left = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("_gone_lines", i)), "\n")
     return joined.select(
         *(F.when(hit, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in base.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
