@@ -64,10 +64,11 @@ def recurring(scratch: Scratch, docs: DataFrame, lines: DataFrame, documents: in
     tokens = texts.select("f.template", "f.n", tokens_of(F.get("lines", F.col("f.line"))).alias("tokens")).dropDuplicates(["template"])
     tokens = scratch.save(tokens.where(F.size("tokens") > depth + 1), "few")
     scratch.drop()
-    holes = F.explode(F.sequence(F.lit(depth), F.size("tokens") - 1))
-    wild = tokens.select("template", "n", "tokens", holes.alias("at"))
-    masked = F.transform("tokens", lambda w, i: F.when(i == F.col("at"), F.lit(FIELD)).otherwise(w))
-    wild = wild.select("template", "n", F.xxhash64(F.size("tokens"), F.col("at"), masked).alias("group"))
+    # the hash of a template but for one token is that of all tokens with this one taken out
+    each = tokens.select("template", "n", F.transform("tokens", lambda w, i: F.xxhash64(w, i)).alias("each"))
+    each = each.withColumn("all", F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    wild = each.select("template", "n", "all", F.size("each").alias("k"), F.posexplode("each").alias("at", "one")).where(F.col("at") >= depth)
+    wild = wild.select("template", "n", F.xxhash64("k", "at", F.col("all").bitwiseXOR(F.col("one"))).alias("group"))
     many = wild.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where((F.col("n") >= documents) & (F.col("k") > 1))
     merged = wild.join(many.select("group"), "group").groupBy("template").agg(F.min("group").alias("group"))
     return own.unionByName(merged)
