@@ -694,9 +694,9 @@ def _(s, d):
     return bt.run_backtest(sizing.avg_active_signals(e), b, n_trials=12, var_trials=0.12).summary
 
 
-@query("st12_quantiles", f"WITH {BARS} SELECT symbol, median(volume) AS median, quantile_cont(volume, 0.9) AS q90, round(avg(volume), 6) AS mean FROM b GROUP BY symbol")
+@query("st12_quantiles", f"WITH {BARS} SELECT symbol, median(volume) AS median, round(quantile_cont(volume, 0.9), 6) AS q90, round(avg(volume), 6) AS mean FROM b GROUP BY symbol")
 def _(s, d):
-    return bars(s, d).groupBy("symbol").agg(F.median("volume").alias("median"), F.percentile("volume", 0.9).alias("q90"), F.round(F.avg("volume"), 6).alias("mean"))
+    return bars(s, d).groupBy("symbol").agg(F.median("volume").alias("median"), F.round(F.percentile("volume", 0.9), 6).alias("q90"), F.round(F.avg("volume"), 6).alias("mean"))
 
 
 # --- simulator, jobs, models ---
