@@ -108,6 +108,28 @@ def test_lines(spark):
     assert got[22]["text"] == "clean text\nof two lines" and got[20]["text"] is None and got[21]["n_lines"] == 1
 
 
+def test_lines_that_differ_in_a_token(spark):
+    r = random.Random(8)
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    shapes = ["dear friend and {} thanks for all of it", "page made by {}", "a b c {} e f g h i j", "a b c d e f g h i {}", "{} leads this line here", "often the same line as ever", "x y", "two of {} {} names in"]
+    rows = []
+    for i in range(60):
+        own = [s.format(*(name() for _ in range(s.count("{}")))) for s in shapes if r.random() < 0.4]
+        own += ["often the same line as " + name()] * (i == 31) + ["rare one of " + name()] * (i < 8) + ["item of list " + x for x in "abcdefghijkl"] * (i in (3, 4))
+        r.shuffle(own)
+        rows.append((i, "\n".join(own)))
+    tokens = {(i, k): tuple("<*>" if re.search("[0-9]", w) else w for w in x.split()) for i, t in rows for k, x in enumerate(t.split("\n")) if x.split()}
+    groups = collections.defaultdict(list)
+    for place, w in tokens.items():
+        for g in [(w[:p], w[p + 1 :]) for p in range(3, len(w))] or [w]:
+            groups[g].append(place)
+    gone = {x for g in groups.values() if len({i for i, _ in g}) >= 10 for x in g if x != min(g)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_dropped"], x["text"]) for x in linededup.drop_lines(docs).collect()}
+    assert got == {i: (sum(j == i for j, _ in gone), "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows}
+    assert sum(n for n, _ in got.values()) > 100
+
+
 def test_packing(spark, fixture):
     t, docs = fixture
     from tokenizers import Tokenizer
