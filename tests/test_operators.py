@@ -1,5 +1,7 @@
 """Operators on small tapes against hand-computed values, and windows that split a symbol against those that don't."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,23 @@ def test_drawdown_of_an_equity_path(spark):
 def test_bet_timing(spark):
     df = spark.createDataFrame([("s", i, p) for i, p in enumerate([0.5, 0.5, 0.0, -0.5, -0.5, 0.5, 0.5])], "symbol string, us long, position double")
     assert [r["us"] for r in stats.bet_timing(df).orderBy("us").collect()] == [2, 5, 6]
+
+
+def test_models_learn_from_the_events_table(spark, tmp_path):
+    from tickforge import queries as q
+
+    r = np.random.default_rng(3)
+    n = 8000
+    rows = pd.DataFrame({"event_id": np.arange(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) * 5, unit="min"), "user_id": 1, "event_type": np.where(r.random(n) < 0.5, "a", "b"), "value": 100 + np.cumsum(r.normal(0, 1, n)) % 60, "props": [f'{{"k":{k}}}' for k in r.integers(0, 100, n)]})
+    spark.createDataFrame(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    data, names, split = q.learned(spark, d)
+    at = {(x["symbol"], x["us"]) for x in data.collect()}
+    bars = [(x["symbol"], x["us"]) for x in q.bars(spark, d).orderBy("symbol", "bar_seq").collect()]
+    inside = [b for s in "ab" for b in [x for x in bars if x[0] == s][60:-40]]
+    labelled = {(x["symbol"], x["us"]) for x in q.target(spark, d).where("trgt > 0.01").collect()}
+    assert {x for x in inside if x in labelled} <= at and len(at) > 50  # every bar is an event
+    tested = {(x["symbol"], x["pos"]) for x in split.where("role = 'test'").collect()}
+    assert {(x["symbol"], x["pos"]) for x in q.Q["cv8_oof_predict_proba"](spark, d).collect()} == tested and {x[0] for x in tested} == {"a", "b"}
+    assert {x["feature"] for x in q.Q["im2_feat_imp_mda"](spark, d).collect()} == set(names)
+    assert q.Q["im5_ortho_features"](spark, d).count() == len(at) and q.Q["cv4_cv_score"](spark, d).count() == 2
