@@ -174,6 +174,22 @@ def test_quality_counts(spark, fixture):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_sees_word_order(spark):
+    r = random.Random(4)
+    after = {w: [r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(2)] for w in [x + str(k) for x in "abcdefgh" for k in range(9)]}
+    rows = []
+    for i in range(80):
+        w = [r.choice(sorted(after))]
+        while len(w) < 80:
+            w.append(r.choice(after[w[-1]]))
+        rows.append((2 * i, " ".join(w)))
+        r.shuffle(w)  # the same words out of order
+        rows.append((2 * i + 1, " ".join(w)))
+    labels = spark.createDataFrame([(2 * i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["score"] for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert max(got[2 * i + 1] for i in range(80)) < min(got[2 * i] for i in range(80))
+
+
 def test_language(spark):
     r = random.Random(1)
     tongues = {"aa": "the of and thing ing er".split(), "bb": "le que de les eau ment".split()}

@@ -1,8 +1,8 @@
 """Quality rules: counts on each text, and a hashed n-gram likelihood ratio, in DataFrame functions only.
 
-Two multinomials over hashed words are counted, one over the trusted documents
-and one over all; a document's score is the mean log ratio of its words (length-
-normalised). The threshold lies a fixed number of standard deviations below the
+Two multinomials over hashed words and word bigrams are counted, one over the trusted
+documents and one over all; a document's score is the mean log ratio of these n-grams
+(length-normalised). The threshold lies a fixed number of standard deviations below the
 trusted mean, both taken over all trusted documents.
 """
 
@@ -29,7 +29,7 @@ def words_of(text: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, and each word's bucket, for every document in one pass over its whole text.
+    """doc_id, the counts, and the bucket of each word and word bigram, for every document in one pass over its whole text.
 
     Repeated words: the hashes of all 3-word windows are sorted, equal neighbours
     are the repeated windows, and the gaps between their places (3 at most) add up
@@ -51,10 +51,12 @@ def features(docs: DataFrame) -> DataFrame:
     same = lambda x, i: (x["h"] == F.get("s2", i - 1)["h"]) | (x["h"] == F.get("s2", i + 1)["h"])
     d = d.withColumn("p", F.sort_array(F.transform(F.filter("s2", same), lambda x: x["i"])))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    follow = F.zip_with(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    d = d.withColumn("grams", F.concat("h", follow))
     return d.select(
         "doc_id", F.size("h").cast("long").alias("n_words"), *(F.col(c).cast("long").alias(c) for c in COUNTS[1:4]),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.transform("h", lambda x: x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("short")).alias("buckets"),
+        F.transform("grams", lambda x: x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("short")).alias("buckets"),
     )
 
 
@@ -77,7 +79,7 @@ def quality(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS)
     ratios = [math.log((found.get(b, (0, 0))[1] + SMOOTH) / target) - math.log((found.get(b, (0, 0))[0] + SMOOTH) / raw) for b in range(BUCKETS)]
     literal = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(literal, b.cast("int")))
-    score = F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 9))
+    score = F.when(F.col("n_words") > 0, F.round(total / F.size("buckets"), 9))
     scored = scratch.save(table.select("doc_id", *COUNTS, score.alias("score")), "scored")
     scratch.drop("features")
     at = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
