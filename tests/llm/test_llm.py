@@ -249,6 +249,25 @@ def test_pii_patterns_and_network(spark):
     assert all(got[i]["n_email"] == 1 and got[i]["n_phone"] == 1 for i in range(60)) and got[99]["spans"] == "" == got[100]["spans"]
 
 
+def test_network_reads_text_without_digits(spark, monkeypatch):
+    import numpy as np
+
+    plain = "only plain words are in this text, many more of them than a window of sixty-four characters holds"
+    docs = spark.createDataFrame([(1, plain), (2, "x"), (3, "")], "doc_id long, text string")
+    x, y = pii.training_windows(docs)
+    assert len(x) == len(range(0, len(plain), pii.STRIDE)) + 1 and not y.any()
+    sure = pii.Network()
+    sure.p["c"][8] = 100.0  # inside a phone number, everywhere
+    monkeypatch.setattr(pii.Network, "train", lambda self, x, y: sure)
+    assert {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()} == {1: f"phone:0:{len(plain)}", 2: "phone:0:1", 3: ""}
+    for seed in range(5):
+        net = pii.Network(seed)
+        net.p["T"] *= 5
+        net.p["c"][0] = seed - 1
+        x = np.random.default_rng(seed).integers(0, 128, (200, 64))
+        assert (net.decode(x) == net.best_path(net.scores(x)[0])).mean() > 0.999
+
+
 def test_network_gradient():
     import numpy as np
 

@@ -3,7 +3,7 @@
 The network is trained in numpy on windows of the documents, labelled by the
 patterns' spans. Overlapping windows are decoded and reconciled over the whole
 text: each character takes its label from the window in which it is most central.
-Only windows that hold a digit or an at sign are decoded: every labelled kind has one.
+Every window of every text is decoded, and the training windows are drawn from all.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickforge.llm.kernels import slices
+from tickforge.llm.kernels import U, mix, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SIZE, STRIDE = 64, 32
@@ -78,13 +78,9 @@ def codes(text: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a trigger."""
-    keep = set()
-    for m in re.finditer(r"[0-9@]", text):
-        k = m.start() // STRIDE
-        keep.update(j * STRIDE for j in range(max(0, k - SIZE // STRIDE + 1), k + 1))
-    return sorted(keep)
+def window_starts(length: int) -> np.ndarray:
+    """Starts of all overlapping windows of a text of so many characters."""
+    return np.arange(0, length, STRIDE)
 
 
 def labels(text: str) -> np.ndarray:
@@ -183,58 +179,93 @@ class Network:
                 self.p[k] -= RATE * (1 - 0.8 * i / steps) * (a / (1 - 0.9**i)) / (np.sqrt(b / (1 - 0.999**i)) + 1e-8)
         return self
 
+    def quick_scores(self, x: np.ndarray) -> np.ndarray:
+        """scores() in single precision, of nothing but the outputs; inputs are looked up by character, gates are tanh of the half."""
+        n, t = x.shape
+        out = np.empty((t, n, 2 * HIDDEN), np.float32)
+        half = np.repeat([0.5, 1.0], [3 * HIDDEN, HIDDEN])
+        for w, b, own, places in ((self.p["Wf"], self.p["bf"], slice(None, HIDDEN), range(t)), (self.p["Wb"], self.p["bb"], slice(HIDDEN, None), range(t - 1, -1, -1))):
+            table = ((self.p["E"] @ w[:EMBED] + b) * half).astype(np.float32)
+            inner = (w[EMBED:] * half).astype(np.float32)
+            h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            for i in places:
+                z = table[x[:, i]]
+                z += h @ inner
+                np.tanh(z, out=z)
+                s = z[:, : 3 * HIDDEN] * np.float32(0.5) + np.float32(0.5)
+                c = s[:, :HIDDEN] * c + s[:, HIDDEN : 2 * HIDDEN] * z[:, 3 * HIDDEN :]
+                h = s[:, 2 * HIDDEN :] * np.tanh(c)
+                out[i, :, own] = h
+        return (out @ self.p["V"].astype(np.float32) + self.p["c"].astype(np.float32)).transpose(1, 0, 2)
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The most likely tags of each window."""
-        s, _ = self.scores(x)
+        s = self.quick_scores(x)
+        tags = np.zeros(x.shape, np.int8)
+        # where no step of another path can be worth more than one of no tag at all, that path is the best
+        room = np.float32(self.p["T"].max() - self.p["T"][0, 0])
+        unsure = np.flatnonzero((s[:, :, 0] - s[:, :, 1:].max(2)).min(1) <= room)
+        if len(unsure):
+            tags[unsure] = self.best_path(s[unsure])
+        return tags
+
+    def best_path(self, s: np.ndarray) -> np.ndarray:
         n, t, k = s.shape
         best, back = s[:, 0], np.zeros((n, t, k), np.int8)
         for i in range(1, t):
             v = best[:, :, None] + self.p["T"]
             back[:, i] = v.argmax(1)
             best = v.max(1) + s[:, i]
-        tags = np.zeros((n, t), np.int64)
+        tags = np.zeros((n, t), np.int8)
         tags[:, -1] = best.argmax(1)
         for i in range(t - 1, 0, -1):
             tags[:, i - 1] = back[np.arange(n), i, tags[:, i]]
         return tags
 
 
-def windows(text: str, starts: list[int]) -> np.ndarray:
-    c = np.concatenate([codes(text), np.zeros(SIZE, np.int64)])
-    return c[np.array(starts)[:, None] + np.arange(SIZE)]
+def windows(text: str, starts: np.ndarray) -> np.ndarray:
+    c = np.concatenate([codes(text), np.zeros(SIZE, np.int64)]).astype(np.uint8)
+    return c[starts[:, None] + np.arange(SIZE)]
 
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(characters, tags) of the sample."""
 
     def cut(batches):
+        rows = []
         for batch in batches:
-            rows = []
-            for doc, text in triggered(batch):
+            for doc, text in texts_of(batch):
+                starts = window_starts(len(text))
+                h = mix(starts.astype(U) + U(zlib.crc32(f"{doc}".encode()) << 32)) >> U(1)
+                least = rows[SAMPLE - 1][0] if len(rows) >= SAMPLE else 1 << 63
+                at = np.flatnonzero(h <= U(least))
+                if not len(at):
+                    continue
                 y = np.concatenate([labels(text), np.zeros(SIZE, np.int64)])
-                for start, x in zip(at := window_starts(text), windows(text, at), strict=True):
-                    rows.append((zlib.crc32(f"{doc}:{start}".encode()), x.astype(np.uint8).tobytes() + y[start : start + SIZE].astype(np.uint8).tobytes()))
-            rows = sorted(rows)[:SAMPLE]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "data"])
+                for k, x in zip(at.tolist(), windows(text, starts[at]), strict=True):
+                    rows.append((int(h[k]), x.tobytes() + y[starts[k] : starts[k] + SIZE].astype(np.uint8).tobytes()))
+                if len(rows) > 2 * SAMPLE or least == 1 << 63:
+                    rows = sorted(rows)[:SAMPLE]
+        rows = sorted(rows)[:SAMPLE]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "data"])
 
     found = docs.mapInArrow(cut, "h long, data binary").orderBy("h", "data").limit(SAMPLE).collect()
     both = np.frombuffer(b"".join(r["data"] for r in found), np.uint8).reshape(-1, 2, SIZE).astype(np.int64)
     return both[:, 0], both[:, 1]
 
 
-def triggered(batch):
-    """(doc_id, text) of the rows with a digit or an at sign."""
+def texts_of(batch):
+    """(doc_id, text) of the rows with a text."""
     for lo, hi, buf, offsets in slices(batch.column(1)):
-        hits = np.concatenate([[0], np.cumsum(_TRIGGER[buf])])
-        for k in np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]]):
+        for k in np.flatnonzero(offsets[1:] > offsets[:-1]):
             yield batch.column(0)[lo + int(k)].as_py(), buf[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
 
 
-def reconcile(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
+def reconcile(length: int, starts: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) over the whole text from the tags of its windows."""
     said, depth = np.zeros(length + SIZE, np.int64), np.full(length + SIZE, -1)
     inner = np.minimum(np.arange(SIZE), SIZE - 1 - np.arange(SIZE))
-    for start, t in zip(starts, tags, strict=True):
+    for start, t in zip(starts.tolist(), tags, strict=True):
         own = slice(start, start + SIZE)
         take = inner > depth[own]
         said[own] = np.where(take, t, said[own])
@@ -259,8 +290,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_sha256 and spans of every document.
 
     docs: (doc_id, text), other columns ignored. Null texts are empty, without spans.
-    The network adds a span only where it overlaps no other and holds a digit or an
-    at sign. Repeated rows give a row each; a null doc_id stays null; no rows give none.
+    The network adds a span only where it overlaps no other. Repeated rows give a row each; a null doc_id stays null; no rows give none.
     """
     docs = docs.select("doc_id", "text")
     x, y = training_windows(docs)
@@ -278,22 +308,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
             every = [""] * n
             for lo, hi, buf, offsets in slices(batch.column(1)):
                 hits = np.concatenate([[0], np.cumsum(_TRIGGER[buf])])
-                rows = np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]])
+                rows = np.flatnonzero(offsets[1:] > offsets[:-1])
                 texts = [buf[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in rows]
-                starts = [window_starts(t) for t in texts]
+                starts = [window_starts(len(t)) for t in texts]
                 wide = [windows(t, at) for t, at in zip(texts, starts, strict=True)]
-                flat = np.concatenate(wide) if wide else np.zeros((0, SIZE), np.int64)
-                tags = np.concatenate([net.decode(flat[i : i + 2048]) for i in range(0, len(flat), 2048)]) if len(flat) and shared.value else np.zeros_like(flat)
+                flat = np.concatenate(wide) if wide else np.zeros((0, SIZE), np.uint8)
+                tags = np.concatenate([net.decode(flat[i : i + 1024]) for i in range(0, len(flat), 1024)]) if len(flat) and shared.value else np.zeros(flat.shape, np.int8)
+                said = tags.any(1)
                 at = 0
                 for k, text, s in zip(rows, texts, starts, strict=True):
-                    spans = patterns(text)
+                    # every base span has a digit or an at sign
+                    spans = patterns(text) if hits[offsets[k + 1]] > hits[offsets[k]] else []
                     base[lo + k] = spans
                     taken = np.zeros(len(text) + 1, bool)
                     for _, a, b in spans:
                         taken[a:b] = True
                     extra = []
-                    for kind, a, b in reconcile(len(text), s, tags[at : at + len(s)]):
-                        if b > a and not taken[a:b].any() and re.search(r"[0-9@]", text[a:b]):
+                    for kind, a, b in reconcile(len(text), s, tags[at : at + len(s)]) if said[at : at + len(s)].any() else []:
+                        if b > a and not taken[a:b].any():
                             extra.append((kind, a, b))
                             taken[a:b] = True
                     at += len(s)
