@@ -28,6 +28,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def bucketed() -> Column:
+    """The buckets of the words, then of the word bigrams, from the words' hashes h."""
+    m = F.greatest(F.size("h") - 1, F.lit(0))
+    follow = F.zip_with(F.slice("h", F.lit(1), m), F.slice("h", F.lit(2), m), lambda a, b: F.xxhash64(a, b))
+    return F.transform(F.concat("h", follow), lambda x: x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("short"))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, and the bucket of each word and word bigram, for every document in one pass over its whole text.
 
@@ -51,12 +58,10 @@ def features(docs: DataFrame) -> DataFrame:
     same = lambda x, i: (x["h"] == F.get("s2", i - 1)["h"]) | (x["h"] == F.get("s2", i + 1)["h"])
     d = d.withColumn("p", F.sort_array(F.transform(F.filter("s2", same), lambda x: x["i"])))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    follow = F.zip_with(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    d = d.withColumn("grams", F.concat("h", follow))
     return d.select(
         "doc_id", F.size("h").cast("long").alias("n_words"), *(F.col(c).cast("long").alias(c) for c in COUNTS[1:4]),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.transform("grams", lambda x: x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("short")).alias("buckets"),
+        bucketed().alias("buckets"),
     )
 
 
@@ -70,9 +75,11 @@ def quality(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS)
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    table = scratch.save(features(docs.select("doc_id", "text")), "features")
+    docs = docs.select("doc_id", "text")
+    # buckets are made from the text twice: a table of them would be as large as the input
+    hashed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     trusted = labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 AND x = 0").select(F.col("doc_id").alias("trusted_id")).hint("merge")
-    by_doc = table.select("doc_id", "buckets").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    by_doc = hashed.select("doc_id", bucketed().alias("buckets")).join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
     counted = by_doc.select(F.col("trusted_id").isNotNull().cast("long").alias("is"), F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is").alias("target"))
     found = {r["bucket"]: (r["raw"], r["target"]) for r in counted.collect()}  # BUCKETS rows at most
     raw, target = (sum(v[k] for v in found.values()) + SMOOTH * BUCKETS for k in (0, 1))
@@ -80,8 +87,8 @@ def quality(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS)
     literal = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(literal, b.cast("int")))
     score = F.when(F.col("n_words") > 0, F.round(total / F.size("buckets"), 9))
-    scored = scratch.save(table.select("doc_id", *COUNTS, score.alias("score")), "scored")
-    scratch.drop("features")
+    scratch.drop()
+    scored = scratch.save(features(docs).select("doc_id", *COUNTS, score.alias("score")), "scored")
     at = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
     least = round(at[0] - deviations * at[1], 6) if at[0] is not None else float("-inf")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -723,15 +723,15 @@ MODEL_FEATURES = ["vol_50", "vol_ratio", "mom_5", "mom_20", "autocorr_50", "ofi"
 def learned(s, d) -> tuple[DataFrame, list[str], DataFrame]:
     """(features and labels with every bar as an event, feature names, purged folds); bars without a label or a feature are left out."""
 
-    def make():
-        b = bars(s, d)
-        e = L.get_events(b, L.add_vertical_barrier(b.select("symbol", "us"), b, HOLDING), (1.0, 1.0), target(s, d), 0.01)
-        labels = L.get_bins(e, b).select("symbol", "us", "t1", F.when(F.col("bin") > 0, 1).otherwise(0).alias("y"))
-        weights = S.avg_uniqueness(labels.select("symbol", "us", "t1"), b).select("symbol", "us", F.col("tW").alias("weight"))
-        features = fe.build_features(b, drop=False).select("symbol", "us", *MODEL_FEATURES).dropna()
-        return cv.positions(labels.join(weights, ["symbol", "us"]).join(features, ["symbol", "us"]))
-
-    data = kept(s, "learned", d, make)
+    # each step is written: as one plan they take more than the driver's memory
+    b = bars(s, d)
+    spans_ = kept(s, "learned_spans", d, lambda: L.add_vertical_barrier(b.select("symbol", "us"), b, HOLDING))
+    e = kept(s, "learned_events", d, lambda: L.get_events(b, spans_, (1.0, 1.0), target(s, d), 0.01))
+    labels = kept(s, "learned_labels", d, lambda: L.get_bins(e, b).select("symbol", "us", "t1", F.when(F.col("bin") > 0, 1).otherwise(0).alias("y")))
+    weights = kept(s, "learned_weights", d, lambda: S.avg_uniqueness(labels.select("symbol", "us", "t1"), b).select("symbol", "us", F.col("tW").alias("weight")))
+    features = kept(s, "learned_features", d, lambda: fe.build_features(b, drop=False).select("symbol", "us", *MODEL_FEATURES).dropna())
+    rows = kept(s, "learned_rows", d, lambda: labels.join(weights, ["symbol", "us"]).join(features, ["symbol", "us"]))
+    data = kept(s, "learned", d, lambda: cv.positions(rows))
     return data, MODEL_FEATURES, kept(s, "learned_folds", d, lambda: cv.purged_kfold(data.select("symbol", "us", "t1", "pos"), 2, 0.05))
 
 
