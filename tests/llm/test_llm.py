@@ -60,11 +60,25 @@ def test_jaccard(spark, fixture):
             if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
                 a, b = sorted((root(x), root(y)))
                 parent[b] = a
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs, 4, 85).collect()}
-    assert got == {i: (len(sets[i]), root(i)) for i in t}
+    for piece in (4096, 3):  # groups whole, and cut into pieces that meet two by two
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs, 4, 85, piece).collect()}
+        assert got == {i: (len(sets[i]), root(i)) for i in t}
     assert jaccard.near_groups(empty(spark), 4, 85).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    r = random.Random(9)
+    base = ["w" + str(r.randrange(500)) for _ in range(57)]
+    near = " ".join([*base, "one"])
+    rows = [(1, " ".join(base)), (1, "a text of its own that no other row has"), (2, near), (2, "another text of its own here"), (None, near), (None, None), (7, near), (7, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.near_groups(docs, 4, 85).collect())
+    n = len(set(zip(*(base[k:] for k in range(4)))))
+    assert got == collections.Counter([(1, n, 1), (1, 7, 1), (2, n + 1, 1), (2, 3, 2), (None, n + 1, None), (None, 0, None), (7, n + 1, 1), (7, n + 1, 1)])
+    named = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert {x["component_id"] for x in jaccard.near_groups(named, 4, 85).collect()} == {"d1", "d2", None}
+
+
 def test_byte_substrings(spark, fixture):
     t, docs = fixture
     raw = {i: (x or "").encode() for i, x in t.items()}

@@ -1,38 +1,59 @@
 """N-gram Jaccard join by vertical partitioning.
 
 All n-grams have one global order: rare ones first, by a fixed-size sketch of
-corpus counts, then by hash. Documents with equal sets are one class. The order's
-first fragment of each set (its prefix) finds the pairs that can be similar; each
-set is then cut by hash range into fragments, partial overlaps are counted per
-fragment, and summed per pair, which is exact.
-
-Large groups of near copies aren't expanded into all pairs: first each n-gram
-only links its members to one centre; what these links join needs no further
-pair, and only pairs across components are looked at after that.
+corpus counts, then by hash. The order's first stretch of each set (its prefix)
+finds the sets that can be similar. The order is cut into fragments at pivots of
+equal weight; partial overlaps are counted in each fragment and summed
+per pair, which is exact.
+
+Groups of near copies aren't expanded into pairs. In each round every set names the one
+nearest to it, by a parity bitmap, of those in other components; the named pairs are
+counted and their components join. Once few named pairs still link, all pairs
+that are left across components and pass the bitmap's bound are counted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import Prefix, U, Words, mix, slices
-from tickforge.llm.repeats import buckets_for, dealt, flat, packed, unpacked
+from tickforge.llm.repeats import buckets_for, dealt, packed, unpacked
 from tickforge.llm.scratch import Scratch, components
 
 #: The sketch: so many counters, in blocks of so many, each up to 255 per task.
 CELLS, BLOCK = 1 << 22, 1 << 16
-#: Fragments that a set is cut into when overlaps are counted.
+#: Fragments that the global order is cut into.
 FRAGMENTS = 4
 #: 64-bit words of a set's parity bitmap, which bounds how much two sets differ from below.
 PARITY = 8
 BITS = [f"p{k}" for k in range(PARITY)]
+#: Members of an n-gram that are compared in one piece; larger groups are cut.
+PIECE = 4096
+#: Rows of 8 to 24 bytes up to which a side is broadcast; beyond, it is shuffled.
+SMALL = 500_000
 _POSTING = np.dtype([("s", "<u8"), ("node", "<i8"), ("size", "<i4"), ("place", "<i4")])
 
 
-def sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+class Order:
+    """The global order of n-grams, and the ranks that cut it into fragments of about equal weight."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+        weight = np.bincount(levels, minlength=64) * 2.0 ** np.arange(64)
+        ends = np.cumsum(weight) / weight.sum()
+        cuts = np.arange(1, FRAGMENTS) / FRAGMENTS
+        level = np.searchsorted(ends, cuts)
+        inside = (cuts - (ends[level] - weight[level] / weight.sum())) / (weight[level] / weight.sum())
+        self.pivots = np.array([(int(a) << 58) + int(b * (1 << 58)) for a, b in zip(level, np.clip(inside, 0, 1), strict=True)], U)
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        return (self.levels[(h >> U(42)).astype(np.int64)].astype(U) << U(58)) | (h >> U(6))
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the n-grams of a slice; a text of fewer words has its whole sequence as one."""
     w = Words(buf, offsets, lower=True)
     _, doc, h = w.runs(n)
@@ -43,14 +64,37 @@ def sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return doc, h
 
 
-def sketch(scratch: Scratch, docs: DataFrame, n: int) -> np.ndarray:
+class Sets:
+    """The sets of a slice's texts in global order: text and hash of each element, sizes, first elements, digests."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, n: int, order: Order | None):
+        doc, h = shingles(buf, offsets, n)
+        rank = order.rank(h) if order else h
+        by = np.lexsort((h, rank, doc))
+        doc, h, rank = doc[by], h[by], rank[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        self.doc, self.h, self.rank = doc[new], h[new], rank[new]
+        self.size = np.bincount(self.doc, minlength=len(offsets) - 1)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+    def digest(self, seed: int = 0) -> np.ndarray:
+        """64 bits of each set, whatever the order of its elements."""
+        s = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.h ^ U(seed)))])
+        return mix(s[self.at[1:]] - s[self.at[:-1]] + self.size.astype(U)).view(np.int64)
+
+
+SECOND = 0x5851F42D4C957F2D
+
+
+def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """log2 of the count in each cell, over the n-grams of all documents; CELLS bytes whatever the input's size."""
 
     def count(batches):
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column(0), 1 << 23):
-                total += np.bincount((sets(buf, offsets, n)[1] >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                total += np.bincount((shingles(buf, offsets, n)[1] >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         cells = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["block", "cells"])
 
@@ -70,199 +114,261 @@ def sketch(scratch: Scratch, docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, a, b, prefix, p0..): set size, 128-bit digest of the set, its first hashes in the global order, parity bitmap."""
+def digested(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, size, a, b) of each row: the set's size and 128-bit digest; a names the set."""
 
     def sign(batches):
-        order = levels.value
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offsets in slices(batch.column(1)):
-                doc, h = sets(buf, offsets, n)
-                rank = (order[(h >> U(42)).astype(np.int64)].astype(U) << U(58)) | (h >> U(6))
-                by = np.lexsort((rank, doc)) if hi - lo > 1 else np.argsort(rank)
-                doc, h, rank = doc[by], h[by], rank[by]
-                new = np.ones(len(h), bool)
-                new[1:] = (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1])
-                doc, h = doc[new], h[new]
-                size = np.bincount(doc, minlength=hi - lo)
-                at = np.concatenate([[0], np.cumsum(size)])
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(x)]) for x in (mix(h), mix(h ^ U(0x5851F42D4C957F2D)))]
-                a, b = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-                keep = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-                index = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep) + np.repeat(at[:-1], keep)
-                edges = pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32())
-                prefix = pa.ListArray.from_arrays(edges, pa.array(h[index].view(np.int64)))
-                width = 64 * PARITY
-                odd = (np.bincount(doc * width + (h >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
-                parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8")
-                bits = [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(a), pa.array(b), prefix, *bits], names=["doc_id", "size", "a", "b", "prefix", *BITS])
+                s = Sets(buf, offsets, n, None)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(s.size, pa.int64()), pa.array(s.digest()), pa.array(s.digest(SECOND))], names=["doc_id", "size", "a", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long, prefix array<long>, {', '.join(b + ' long' for b in BITS)}")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long")
 
 
-def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, fragment, grams) of each document's set; docs: (node, text)."""
-
-    def cut(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, buf, offsets in slices(batch.column(1)):
-                doc, h = sets(buf, offsets, n)
-                key = doc.astype(np.int64) * FRAGMENTS + (h >> U(62)).astype(np.int64)
-                by = np.lexsort((h, key))
-                key, h = key[by], h[by]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-                key, h = key[new], h[new]
-                edges = pa.array(np.searchsorted(key, np.arange((hi - lo) * FRAGMENTS + 1)), pa.int32())
-                grams = pa.ListArray.from_arrays(edges, pa.array(h.view(np.int64)))
-                node = ids.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), FRAGMENTS)))
-                yield pa.RecordBatch.from_arrays([node, pa.array(np.tile(np.arange(FRAGMENTS), hi - lo), pa.int32()), grams], names=["node", "fragment", "grams"])
+def shared_postings(docs: DataFrame, order, n: int, percent: int, buckets: int) -> DataFrame:
+    """(gram, node, size, place) for the prefix n-grams that several distinct sets have; node is a set's digest.
 
-    return docs.mapInArrow(cut, "node long, fragment int, grams array<long>")
-
-
-def postings(classes: DataFrame, buckets: int) -> DataFrame:
-    """(gram, node, size, place, c_node, c_size, c_place) for the prefix entries whose n-gram several classes have, with a centre.
-
-    The centre is the class that has the n-gram earliest. A batch of classes settles
-    its own groups around its own centre and asks with that alone, so a frequent
-    n-gram sends one entry a batch.
+    Copies in a batch send once. A batch that has several sets for an n-gram knows that it is
+    shared and tells the others with one entry, so a frequent n-gram sends one entry a batch.
     """
 
+    def grouped(e: np.ndarray, many: np.ndarray):
+        """Entries without copies, where each n-gram begins, its number of entries, whether any is known as shared."""
+        by = np.lexsort((e["node"], e["s"]))
+        e, many = e[by], many[by]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["s"][1:] != e["s"][:-1]) | (e["node"][1:] != e["node"][:-1])
+        lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]]))
+        known = np.logical_or.reduceat(many, lead)
+        e = e[new]
+        lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]]))
+        return e, lead, np.diff(np.append(lead, len(e))), known
+
     def send(batches):
         for batch in batches:
-            row, grams = flat(batch.column(2))
-            e = np.zeros(len(row), _POSTING)
-            first = np.searchsorted(row, np.arange(len(batch.column(0))))
-            e["s"], e["node"], e["size"] = grams.view(U), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            e["place"] = np.arange(len(row)) - first[row]
-            e = e[np.lexsort((e["node"], e["place"], e["s"]))]
-            lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]])) if len(e) else np.zeros(0, np.int64)
-            count = np.diff(np.append(lead, len(e)))
+            parts = []
+            for _, hi, buf, offsets in slices(batch.column(0)):
+                s = Sets(buf, offsets, n, order.value)
+                keep = np.where(s.size > 0, s.size - (percent * s.size + 99) // 100 + 1, 0)
+                place = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
+                at = place + np.repeat(s.at[:-1], keep)
+                e = np.zeros(len(at), _POSTING)
+                e["s"], e["node"], e["size"], e["place"] = s.h[at], s.digest()[s.doc[at]], s.size[s.doc[at]], place
+                parts.append(e)
+            e = np.concatenate(parts) if parts else np.zeros(0, _POSTING)
+            if not len(e):
+                continue
+            e, lead, count, _ = grouped(e, np.zeros(len(e), bool))
             alone = count == 1
-            sure = np.repeat(~alone, count)
             out = [(*r, 0) for r in dealt(e[lead[alone]], buckets)] + [(*r, 1) for r in dealt(e[lead[~alone]], buckets)]
-            if sure.any():
-                # the leader's own row comes with the reply
-                own = np.repeat(lead, count)[sure]
-                mine = np.flatnonzero(sure)
-                rest = mine != own
-                out.append((int(e["node"][mine[0]]) % buckets, packed(e[mine[rest]]) + packed(e[own[rest]]), 2))
+            rest = np.repeat(~alone, count)
+            rest[lead] = False
+            if rest.any():
+                out.append((int(e["node"][rest][0]) % buckets, packed(e[rest]), 2))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int32()))], names=["bucket", "data", "kind"])
 
-    def reply(e: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        cols = [e["s"].view(np.int64), e["node"], e["size"], e["place"], c["node"], c["size"], c["place"]]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["gram", "node", "size", "place", "c_node", "c_size", "c_place"])
+    def rows(e: np.ndarray) -> pa.RecordBatch:
+        cols = [e["s"].view(np.int64), e["node"], e["size"], e["place"]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["gram", "node", "size", "place"])
 
     def receive(batches):
         held: dict[int, list] = {}
         for batch in batches:
             for bucket, data, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                e = unpacked(data, _POSTING)
                 if kind == 2:
-                    yield reply(unpacked(data[: len(data) // 2], _POSTING), unpacked(data[len(data) // 2 :], _POSTING))
+                    yield rows(e)
                 else:
-                    e = unpacked(data, _POSTING)
                     held.setdefault(bucket, []).append((e, np.full(len(e), kind == 1)))
         for parts in held.values():
-            e, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.lexsort((e["node"], e["place"], e["s"]))
-            e, many = e[by], many[by]
-            lead = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]]))
-            count = np.diff(np.append(lead, len(e)))
-            keep = np.repeat((count > 1) | np.logical_or.reduceat(many, lead), count)
-            yield reply(e[keep], e[np.repeat(lead, count)[keep]])
+            e, _, count, known = grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield rows(e[np.repeat((count > 1) | known, count)])
 
-    sent = classes.select("node", "size", "prefix").mapInArrow(send, "bucket long, data binary, kind int").repartition(buckets, "bucket")
-    return sent.mapInArrow(receive, "gram long, node long, size int, place int, c_node long, c_size int, c_place int")
+    sent = docs.select("text").mapInArrow(send, "bucket long, data binary, kind int").repartition(buckets, "bucket")
+    return sent.mapInArrow(receive, "gram long, node long, size int, place int")
+
+
+def fragments(docs: DataFrame, order, n: int) -> DataFrame:
+    """(node, fragment, grams): each set cut at the order's pivots, and its parity bitmap as fragment -1; docs: (text)."""
+
+    def cut(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch.column(0)):
+                s = Sets(buf, offsets, n, order.value)
+                key = s.doc * FRAGMENTS + np.searchsorted(order.value.pivots, s.rank, "right")
+                edges = pa.array(np.searchsorted(key, np.arange((hi - lo) * FRAGMENTS + 1)), pa.int32())
+                grams = pa.ListArray.from_arrays(edges, pa.array(s.h.view(np.int64)))
+                names = pa.array(np.repeat(s.digest(), FRAGMENTS))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(FRAGMENTS), hi - lo), pa.int32()), grams], names=["node", "fragment", "grams"])
+                width = 64 * PARITY
+                odd = (np.bincount(s.doc * width + (mix(s.h) >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
+                parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8").reshape(-1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * PARITY, pa.int32()), pa.array(parity))
+                yield pa.RecordBatch.from_arrays([pa.array(s.digest()), pa.array(np.full(hi - lo, -1), pa.int32()), bits], names=["node", "fragment", "grams"])
 
+    # rows of one set are equal
+    return docs.select("text").mapInArrow(cut, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
 
-def can_link(x: str, y: str, percent: int) -> Column:
-    """Whether two entries of one n-gram leave room for enough overlap: by size, and by what follows their places. x, y: name patterns."""
-    n, m, i, j = (F.col(p.format(c)) for c in ("size", "place") for p in (x, y))
-    rest = F.least(n - i, m - j) + F.least(i, j)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a hint: broadcast up to SMALL rows, a sorted merge beyond."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
 
-def near_parity(percent: int) -> Column:
-    """Whether the bitmaps of x and y differ in no more bits than linked sets can have elements that only one of them has."""
-    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in BITS), F.lit(0))
-    both = F.col("x_size") + F.col("y_size")
-    return (100 + percent) * apart <= (100 - percent) * both
 
+def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | None, buckets: int, percent: int, salt: int, every: bool) -> DataFrame:
+    """(a, b): pairs of sets in different components that share a prefix n-gram and may link by sizes, places and bitmaps.
 
-def linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, is enough. Only their documents' texts are read again."""
+    points: (gram, node, size, place, p0..); label: (node, component); pieces: (gram,
+    pieces) of the n-grams with large groups. For each set only the nearest other one in a piece of
+    its groups, or every pair.
+    """
+    df = points
+    df = df.join(small(label), "node", "left").withColumn("part", F.coalesce("component", "node")) if label is not None else df.withColumn("part", F.col("node"))
+    df = df.join(small(pieces), "gram", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))) if pieces is not None else df.withColumn("pieces", F.lit(1))
+    own = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("pieces")).cast("int")
+    df = df.withColumn("own", own).withColumn("first", F.col("own")).withColumn("second", F.col("own"))
+    if every and pieces is not None:
+        # a large group's pieces meet two by two
+        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+        df = df.select("*", other).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    df = df.select("gram", "first", "second", "own", "node", "part", "size", "place", *BITS)
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if t is None or not len(t):
+            return
+        gram, first, second, own, node, part, size, place = (t.column(k).to_numpy() for k in range(8))
+        by = np.lexsort((part, node, second, first, gram))
+        gram, first, second, own, node, part = (v[by] for v in (gram, first, second, own, node, part))
+        size, place = size[by].astype(np.int64), place[by].astype(np.int64)
+        bits = np.stack([t.column(8 + k).to_numpy()[by] for k in range(PARITY)], axis=1).view(U)
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        lead = np.flatnonzero(new)
+        count = np.diff(np.append(lead, len(gram)))
+        end = np.repeat(lead + count, count)
+        closed = np.minimum.reduceat(part, lead) == np.maximum.reduceat(part, lead)
+        live = np.flatnonzero(~np.repeat(closed, count))
+        far = np.full(len(gram), 1 << 30)
+        with_ = np.zeros(len(gram), np.int64)
+        out_a, out_b, step = [], [], 1
+        while len(live):
+            live = live[live + step < end[live]]
+            i, j = live, live + step
+            ok = (part[i] != part[j]) & ((first[i] == second[i]) | (own[i] != own[j]))
+            i, j = i[ok], j[ok]
+            n, m, p, q = size[i], size[j], place[i], place[j]
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (np.minimum(n - p, m - q) + np.minimum(p, q)) >= percent * (n + m))
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
+            ok = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
+            i, j, apart = i[ok], j[ok], apart[ok]
+            if every:
+                out_a.append(np.minimum(node[i], node[j]))
+                out_b.append(np.maximum(node[i], node[j]))
+            else:
+                for x, y in ((i, j), (j, i)):
+                    nearer = (apart < far[x]) | ((apart == far[x]) & (node[y] < with_[x]))
+                    far[x[nearer]], with_[x[nearer]] = apart[nearer], node[y[nearer]]
+            step += 1
+        if every:
+            a, b, d = np.concatenate([*out_a, node[:0]]), np.concatenate([*out_b, node[:0]]), None
+            by = np.lexsort((b, a))
+        else:
+            some = np.flatnonzero(far < 1 << 30)
+            a, b, d = node[some], with_[some], far[some]
+            by = np.lexsort((b, d, a))
+        a, b = a[by], b[by]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (every & (b[1:] != b[:-1]))
+        d = d[by][new] if d is not None else np.zeros(int(new.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], d)], names=["a", "b", "apart"])
+
+    found = df.repartition(buckets, "gram", "first", "second").mapInArrow(run, "a long, b long, apart long")
+    if not every:
+        found = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("nearest")).select("a", F.col("nearest.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for each pair: partial overlaps are counted in each fragment, then summed."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    fragments = scratch.save(whole_sets(texts, n), f"fragments{tag}")
-    scratch.drop()
-    left = pairs.join(fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")), "a")
-    both = left.join(fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
+    cut = cut.where("fragment >= 0").join(small(wanted), "node", "left_semi")
+    left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")).hint("merge"), "a")
+    both = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")).hint("merge"), ["b", "fragment"])
     counted = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left") + F.size("right")).alias("both"))
     total = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.sum("both").alias("both"))
-    out = scratch.save(total.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), f"links{tag}")
-    scratch.drop(f"fragments{tag}")
-    return out
+    return total.select("a", "b", (100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).alias("linked"))
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every document.
+def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, percent: int, piece: int = PIECE) -> DataFrame | None:
+    """(node, component) of the sets that link with another one, by name; None if no n-gram is shared."""
+    spark = docs.sparkSession
+    buckets = buckets_for(docs)
+    order = spark.sparkContext.broadcast(Order(sketch(docs, n)))
+    entries = scratch.save(shared_postings(docs, order, n, percent, buckets), "entries")
+    scratch.drop()
+    if entries.isEmpty():
+        return None
+    # the texts of one member of each set that shares an n-gram
+    nodes = scratch.save(entries.select(F.col("node").alias("a")).distinct(), "nodes")
+    ids = scratch.save(members.join(small(nodes), "a").groupBy("a").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
+    cut = scratch.save(fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n), "fragments")
+    bits = cut.where("fragment = -1").select("node", *(F.col("grams")[k].alias(c) for k, c in enumerate(BITS)))
+    points = scratch.save(entries.join(bits.hint("merge"), "node"), "points")
+    large = entries.groupBy("gram").count().where(F.col("count") > piece)
+    large = scratch.save(large.select("gram", F.ceil(F.col("count") / piece).cast("int").alias("pieces")), "large")
+    pieces = None if large.isEmpty() else large
+    scratch.drop("entries", "nodes", "ids")
+    label, tried, k, more = None, None, 0, True
+    while True:
+        pairs = compared(points, label, pieces, buckets, percent, k, not more)
+        if not more:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs, f"pairs{k}")
+        checked = scratch.save(linked(pairs, cut, percent), f"checked{k}")
+        named, good = checked.agg(F.count("*"), F.sum(F.col("linked").cast("long"))).first()
+        tried = checked if tried is None else tried.unionByName(checked)
+        if good:
+            label = components(scratch, tried.where("linked").select("a", "b"))
+        scratch.drop(f"pairs{k}")
+        if not more:
+            break
+        more, k = 2 * (good or 0) > named, k + 1
+    scratch.drop("points", "fragments", "large")
+    return label
+
+
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIECE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document.
 
     The set of a text is that of its distinct n-word shingles over lower-cased (A-Z)
     words; with fewer words, the whole sequence as one; null and blank texts have
     an empty set and link with nothing. Two sets link at a Jaccard similarity of
     percent/100 or more. component_id is the smallest doc_id reachable by links.
-    n_links counts the links between classes that were needed to show this, so
-    it is positive wherever a different text is near. A null doc_id is a node of
-    its own with a null component; rows that repeat a doc_id give one row for each of their texts;
-    other columns are ignored; an empty table gives no rows.
+    Sets are named by their content, so rows that repeat a doc_id are judged each by its own
+    text. A row with a null doc_id links with nothing and has a null component;
+    other columns are ignored; an empty table gives no rows. doc_id may have any type that can be ordered.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    levels = spark.sparkContext.broadcast(sketch(scratch, docs, n))
-    signed = signatures(docs, levels, n, percent)
-    # one class for each distinct set; its representative is the smallest id
-    member = scratch.save(signed, "signed")
-    # one class for each distinct set; its representative is the smallest id
-    real = member.where("size > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("a", "b", "size").agg(F.min("doc_id").cast("long").alias("node"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in BITS))
-    classes = scratch.save(classes.select("node", "a", "b", F.col("size").cast("int").alias("size"), "prefix", *BITS), "classes")
-    slim = scratch.save(member.drop("prefix", *BITS), "members")
-    scratch.drop("signed")
-    entries = scratch.save(postings(classes, buckets_for(classes)), "entries")
-    ids = scratch.save(classes.select("node", "a", "b", F.col("size").cast("long").alias("size"), *BITS), "ids")
-    scratch.drop("classes")
-    pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    star = entries.where("node <> c_node").where(can_link("{}", "c_{}", percent))
-    first = scratch.save(pair(star, "node", "c_node"), "first")
-    links = linked(scratch, docs, first, n, percent, "1")
-    label = scratch.save(components(scratch, links), "label1")
-    named = entries.select("gram", "node", "size", "place").join(label, "node", "left").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("part"))
-    open_ = named.groupBy("gram").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("gram")
-    named = scratch.save(named.join(open_, "gram", "left_semi").join(ids.select("node", *BITS), "node"), "named")
-    scratch.drop("entries")
-    x, y = (named.select(*(F.col(c).alias(f"{k}_{c}") for c in named.columns)) for k in "xy")
-    across = x.join(y, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_part") < F.col("y_part")) & can_link("x_{}", "y_{}", percent) & near_parity(percent))
-    second = scratch.save(pair(across, "x_node", "y_node").join(first, ["a", "b"], "left_anti"), "second")
-    scratch.drop("named", "first", "label1")
-    more = linked(scratch, docs, second, n, percent, "2")
-    every = links.unionByName(more)
-    label = scratch.save(components(scratch, every), "label2")
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    result = ids.join(label, "node", "left").join(degree, "node", "left")
-    result = result.select("a", "b", "size", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    result = scratch.save(result, "result")
-    scratch.drop("second", "links1", "links2", "label2", "ids")
-    real = slim.where("size > 0 AND doc_id IS NOT NULL")
-    member = slim
-    grouped = real.select("doc_id", "a", "b", "size").join(result, ["a", "b", "size"])
-    rest = member.where("size = 0 OR doc_id IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return grouped.select("doc_id", "size", "component_id", "n_links").unionByName(rest).withColumnRenamed("size", "n_shingles")
+    members = scratch.save(digested(docs, n), "members")
+    real = members.where("size > 0 AND doc_id IS NOT NULL")
+    label = connected(scratch, docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), real, n, percent, piece)
+    # copies meet before components do, so a large group sends few rows
+    classes = real.groupBy("a", "b", "size").agg(F.min("doc_id").alias("least"))
+    if label is not None:
+        classes = classes.join(label.select(F.col("node").alias("a"), "component").hint("merge"), "a", "left")
+        classes = scratch.save(classes, "classes")
+        least = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
+        classes = classes.join(least.hint("merge"), "component", "left").select("a", "b", "size", F.coalesce("lowest", "least").alias("component_id"))
+    else:
+        classes = classes.select("a", "b", "size", F.col("least").alias("component_id"))
+    grouped = real.join(classes.hint("merge"), ["a", "b", "size"]).select("doc_id", "size", "component_id")
+    rest = members.where("size = 0 OR doc_id IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(rest).withColumnRenamed("size", "n_shingles")
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
