@@ -266,7 +266,7 @@ def test_pii_patterns_and_network(spark):
 def test_network_reads_text_without_digits(spark, monkeypatch):
     import numpy as np
 
-    plain = "only plain words are in this text, many more of them than a window of sixty-four characters holds"
+    plain = "only plain words are in this text, many more of them than one window of so many characters holds, " * 3
     docs = spark.createDataFrame([(1, plain), (2, "x"), (3, "")], "doc_id long, text string")
     x, y = pii.training_windows(docs)
     assert len(x) == len(range(0, len(plain), pii.STRIDE)) + 1 and not y.any()
@@ -278,7 +278,7 @@ def test_network_reads_text_without_digits(spark, monkeypatch):
         net = pii.Network(seed)
         net.p["T"] *= 5
         net.p["c"][0] = seed - 1
-        x = np.random.default_rng(seed).integers(0, 128, (200, 64))
+        x = np.random.default_rng(seed).integers(0, 128, (200, pii.SIZE))
         assert (net.decode(x) == net.best_path(net.scores(x)[0])).mean() > 0.999
 
 

@@ -4,6 +4,10 @@ Fixed masks pick some words of each short window, so a substituted word at an
 ignored place doesn't hide a passage. Seeds of documents and of benchmark items
 meet in a join; each diagonal that is hit is verified by aligning the item's
 words with the document's and looking for a window with enough equal words.
+
+The masks find every way to substitute 3 of 13 words (286 of 286), and every way to
+substitute one word of an item of 8 to 12. Items of 5 to 7 words are found by masks without
+ignored places, as they have to agree in whole; shorter ones are no evidence and match nothing.
 """
 
 from __future__ import annotations
@@ -12,58 +16,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.quality import words_of
+from tickforge.llm.scratch import Scratch, small
 
 #: 1: the word counts; 0: it may differ.
-MASKS = ("11101011", "110110011", "1101000111")
+MASKS = ("111011", "110111", "1100001011")
 WINDOW, SHARE = 13, 75
-#: Rows of seeds, and of items, up to which they are broadcast; beyond, they are shuffled.
-SMALL = 1_000_000
+#: Words of the shortest item, and of the shortest in which a word may differ.
+SHORTEST, TOLERANT = 5, 8
 
 
 def hashed(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, key: str) -> DataFrame:
-    """(key, mask, place, seed) of every window; rows: (key, h)."""
-    out = None
-    for k, mask in enumerate(MASKS):
-        m = F.greatest(F.size("h") - (len(mask) - 1), F.lit(0))
-        picked = [F.slice("h", F.lit(i + 1), m).alias(f"w{i}") for i, c in enumerate(mask) if c == "1"]
-        hashes = F.transform(F.arrays_zip(*picked, F.array_repeat(F.lit(k), m).alias("mask")), lambda z: F.xxhash64(z))
-        part = rows.select(key, F.posexplode(hashes).alias("place", "seed"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def seeds(rows: DataFrame, key: str, masks: list[str]) -> DataFrame:
+    """(key, place, seed) of every window; rows: (key, h). All masks look at the same hashes."""
+    every = []
+    for mask in masks:
+        picked = [i for i, c in enumerate(mask) if c == "1"]
+        last = F.size("h") - len(mask)
+        at = lambda i, picked=picked, mask=mask: F.struct(i.alias("place"), F.xxhash64(F.lit(mask), *(F.get("h", i + k) for k in picked)).alias("seed"))
+        every.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)))
+    none = F.array().cast("array<struct<place:int,seed:bigint>>")
+    out = rows.select(key, F.explode(F.concat(*(F.coalesce(e, none) for e in every))).alias("s"))
+    return out.select(key, F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """One row per contaminated document: doc_id, n_items, n_equal (most equal words in one window), item_ids (sorted).
 
     A document is contaminated if some item's words, aligned with its own, agree in
-    at least share percent of some window of that many words (of the whole item, if
-    shorter). Words are compared in lower case. Null and empty texts and items, and
-    items shorter than the masks, match nothing; repeated rows count once;
+    at least share percent of some window of that many words. Of an item that is shorter, all words but
+    one have to agree, and all if it has fewer than TOLERANT words; items of fewer than SHORTEST
+    match nothing. Words are compared in lower case. Null and empty texts and items match nothing;
+    rows of one doc_id are one document, found if any of its texts is; a row with a null doc_id is never found;
     other columns are ignored; an empty side gives an empty result.
     """
-    d = docs.select("doc_id", "text")
-    items = benchmark.where("text IS NOT NULL").select("item_id", hashed(F.col("text")).alias("h")).dropDuplicates()
-    their = seeds(items, "item_id").withColumnRenamed("place", "item_place").distinct()
-    if their.count() <= SMALL:
-        their = F.broadcast(their)
-    own = seeds(d.select("doc_id", hashed(F.col("text")).alias("h")), "doc_id")
-    hits = own.join(their, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    per = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
-    at = d.join(per, "doc_id").select("doc_id", hashed(F.col("text")).alias("dw"), F.explode("hits").alias("hit"))
-    at = at.select("doc_id", "hit.item_id", F.col("hit.shift").alias("shift"), F.slice("dw", F.greatest(F.col("hit.shift"), F.lit(0)) + 1, F.lit(1 << 20)).alias("dw"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    items = benchmark.where("text IS NOT NULL").select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") >= SHORTEST)
+    items = scratch.save(items.dropDuplicates(), "items")
+    lengths = [r[0] for r in items.where(F.size("h") < TOLERANT).select(F.size("h").alias("n")).distinct().collect()]  # a few numbers
+    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
+    their = scratch.save(seeds(items, "item_id", masks).withColumnRenamed("place", "item_place").distinct(), "seeds")
+    own = seeds(d.select("doc_id", hashed(F.col("text")).alias("h")), "doc_id", masks)
+    hits = own.join(small(their), "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    hits = scratch.save(hits, "hits")
+    # only the texts that are hit are read into words again, each once
+    wanted = hits.select("doc_id").distinct()
+    words = d.join(small(wanted), "doc_id", "left_semi").select("doc_id", hashed(F.col("text")).alias("dw"))
+    both = words.join(small(hits), "doc_id").join(small(items.withColumnRenamed("h", "iw")), "item_id")
     lead = F.greatest(-F.col("shift"), F.lit(0))
-    if items.limit(SMALL // 50 + 1).count() <= SMALL // 50:
-        items = F.broadcast(items)
-    both = at.join(items.withColumnRenamed("h", "iw"), "item_id")
-    aligned = F.zip_with(F.slice("iw", lead + 1, F.size("iw")), F.slice("dw", F.lit(1), F.greatest(F.size("iw") - lead, F.lit(0))), lambda a, b: F.when(a == b, 1).otherwise(0))
-    both = both.select("doc_id", "item_id", aligned.alias("eq"), F.least(F.lit(window), F.size("iw")).alias("w"))
+    opposite = F.slice("dw", F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(F.size("iw") - lead, F.lit(0)))
+    aligned = F.zip_with(F.slice("iw", lead + 1, F.size("iw")), opposite, lambda a, b: F.when(a == b, 1).otherwise(0))
+    n = F.size("iw")
+    least = F.when(n < TOLERANT, n).when(n < window, n - 1).otherwise(-(-window * share // 100))
+    both = both.select("doc_id", "item_id", aligned.alias("eq"), F.least(F.lit(window), n).alias("w"), least.alias("least"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("eq") - F.col("w") + 1, F.lit(1)))
     best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("eq", s, F.col("w")), F.lit(0), lambda a, x: a + x)))
-    found = both.withColumn("n_equal", best).where(100 * F.col("n_equal") >= share * F.col("w"))
+    found = both.withColumn("n_equal", best).where(F.col("n_equal") >= F.col("least"))
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("n_equal").alias("n_equal"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import Prefix, U, Words, mix, slices
 from tickforge.llm.repeats import buckets_for, dealt, packed, unpacked
-from tickforge.llm.scratch import Scratch, components
+from tickforge.llm.scratch import Scratch, components, small
 
 #: The sketch: so many counters, in blocks of so many, each up to 255 per task.
 CELLS, BLOCK = 1 << 22, 1 << 16
@@ -32,8 +32,8 @@ PARITY = 8
 BITS = [f"p{k}" for k in range(PARITY)]
 #: Members of an n-gram that are compared in one piece; larger groups are cut.
 PIECE = 4096
-#: Rows of 8 to 24 bytes up to which a side is broadcast; beyond, it is shuffled.
-SMALL = 500_000
+#: Members of an n-gram up to which those that can't link with any other are left out at once.
+FEW = 64
 _POSTING = np.dtype([("s", "<u8"), ("node", "<i8"), ("size", "<i4"), ("place", "<i4")])
 
 
@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for _, _, buf, offsets in slices(batch.column(0), 1 << 23):
+            for _, _, buf, offsets in slices(batch.column(0), 1 << 21):
                 total += np.bincount((shingles(buf, offsets, n)[1] >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         cells = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["block", "cells"])
@@ -115,17 +115,28 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def digested(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, a, b) of each row: the set's size and 128-bit digest; a names the set."""
+    """(doc_id, size, a, b, p0..) of each row: the set's size, 128-bit digest and parity bitmap; a names the set."""
 
     def sign(batches):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offsets in slices(batch.column(1)):
                 s = Sets(buf, offsets, n, None)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(s.size, pa.int64()), pa.array(s.digest()), pa.array(s.digest(SECOND))], names=["doc_id", "size", "a", "b"])
+                width = 64 * PARITY
+                odd = (np.bincount(s.doc * width + (mix(s.h) >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
+                parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8")
+                bits = [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(s.size, pa.int64()), pa.array(s.digest()), pa.array(s.digest(SECOND)), *bits], names=["doc_id", "size", "a", "b", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long, {', '.join(c + ' long' for c in BITS)}")
+
+
+def can_link(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m with a common element at places p and q leave room for enough overlap."""
+    n, m, p, q = (v.astype(np.int64) for v in (n, m, p, q))
+    room = np.minimum(n - p, m - q) + np.minimum(p, q)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * room >= percent * (n + m))
 
 
 def shared_postings(docs: DataFrame, order, n: int, percent: int, buckets: int) -> DataFrame:
@@ -133,6 +144,7 @@ def shared_postings(docs: DataFrame, order, n: int, percent: int, buckets: int)
 
     Copies in a batch send once. A batch that has several sets for an n-gram knows that it is
     shared and tells the others with one entry, so a frequent n-gram sends one entry a batch.
+    Where all sets of an n-gram meet, those that can link with none of them are left out.
     """
 
     def grouped(e: np.ndarray, many: np.ndarray):
@@ -184,15 +196,22 @@ def shared_postings(docs: DataFrame, order, n: int, percent: int, buckets: int)
                 else:
                     held.setdefault(bucket, []).append((e, np.full(len(e), kind == 1)))
         for parts in held.values():
-            e, _, count, known = grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            yield rows(e[np.repeat((count > 1) | known, count)])
+            e, lead, count, known = grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            keep = np.repeat(known | (count > FEW), count)
+            end = np.repeat(lead + count, count)
+            live = np.flatnonzero(~keep)
+            for step in range(1, FEW):
+                live = live[live + step < end[live]]
+                ok = live[can_link(e["size"][live], e["size"][live + step], e["place"][live], e["place"][live + step], percent)]
+                keep[ok] = keep[ok + step] = True
+            yield rows(e[keep])
 
     sent = docs.select("text").mapInArrow(send, "bucket long, data binary, kind int").repartition(buckets, "bucket")
     return sent.mapInArrow(receive, "gram long, node long, size int, place int")
 
 
 def fragments(docs: DataFrame, order, n: int) -> DataFrame:
-    """(node, fragment, grams): each set cut at the order's pivots, and its parity bitmap as fragment -1; docs: (text)."""
+    """(node, fragment, grams): each set cut at the order's pivots; docs: (text)."""
 
     def cut(batches):
         for batch in batches:
@@ -203,21 +222,11 @@ def fragments(docs: DataFrame, order, n: int) -> DataFrame:
                 grams = pa.ListArray.from_arrays(edges, pa.array(s.h.view(np.int64)))
                 names = pa.array(np.repeat(s.digest(), FRAGMENTS))
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(FRAGMENTS), hi - lo), pa.int32()), grams], names=["node", "fragment", "grams"])
-                width = 64 * PARITY
-                odd = (np.bincount(s.doc * width + (mix(s.h) >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
-                parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8").reshape(-1)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * PARITY, pa.int32()), pa.array(parity))
-                yield pa.RecordBatch.from_arrays([pa.array(s.digest()), pa.array(np.full(hi - lo, -1), pa.int32()), bits], names=["node", "fragment", "grams"])
 
     # rows of one set are equal
     return docs.select("text").mapInArrow(cut, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a hint: broadcast up to SMALL rows, a sorted merge beyond."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
-
-
 def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | None, buckets: int, percent: int, salt: int, every: bool) -> DataFrame:
     """(a, b): pairs of sets in different components that share a prefix n-gram and may link by sizes, places and bitmaps.
 
@@ -259,8 +268,7 @@ def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | Non
             i, j = live, live + step
             ok = (part[i] != part[j]) & ((first[i] == second[i]) | (own[i] != own[j]))
             i, j = i[ok], j[ok]
-            n, m, p, q = size[i], size[j], place[i], place[j]
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (np.minimum(n - p, m - q) + np.minimum(p, q)) >= percent * (n + m))
+            ok = can_link(size[i], size[j], place[i], place[j], percent)
             i, j = i[ok], j[ok]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
             ok = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
@@ -295,7 +303,7 @@ def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | Non
 def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) for each pair: partial overlaps are counted in each fragment, then summed."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    cut = cut.where("fragment >= 0").join(small(wanted), "node", "left_semi")
+    cut = cut.join(small(wanted), "node", "left_semi")
     left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")).hint("merge"), "a")
     both = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")).hint("merge"), ["b", "fragment"])
     counted = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left") + F.size("right")).alias("both"))
@@ -312,32 +320,42 @@ def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, per
     scratch.drop()
     if entries.isEmpty():
         return None
-    # the texts of one member of each set that shares an n-gram
-    nodes = scratch.save(entries.select(F.col("node").alias("a")).distinct(), "nodes")
-    ids = scratch.save(members.join(small(nodes), "a").groupBy("a").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
-    cut = scratch.save(fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n), "fragments")
-    bits = cut.where("fragment = -1").select("node", *(F.col("grams")[k].alias(c) for k, c in enumerate(BITS)))
-    points = scratch.save(entries.join(bits.hint("merge"), "node"), "points")
+    sets = members.groupBy(F.col("a").alias("node")).agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in BITS))
+    sets = scratch.save(sets, "sets")
+    points = scratch.save(entries.join(sets.drop("doc_id").hint("merge"), "node"), "points")
     large = entries.groupBy("gram").count().where(F.col("count") > piece)
     large = scratch.save(large.select("gram", F.ceil(F.col("count") / piece).cast("int").alias("pieces")), "large")
     pieces = None if large.isEmpty() else large
-    scratch.drop("entries", "nodes", "ids")
-    label, tried, k, more = None, None, 0, True
+    scratch.drop("entries")
+    label, tried, cut, k, more = None, None, None, 0, True
     while True:
         pairs = compared(points, label, pieces, buckets, percent, k, not more)
         if not more:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{k}")
+        # the texts of one member of each set that is in a pair for the first time
+        new = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if cut is not None:
+            new = new.join(cut.select("node").distinct(), "node", "left_anti")
+        ids = scratch.save(sets.select("node", "doc_id").join(new, "node").select("doc_id").distinct(), f"ids{k}")
+        if not ids.isEmpty():
+            more_cut = scratch.save(fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n), f"fragments{k}")
+            cut = more_cut if cut is None else cut.unionByName(more_cut)
+        if cut is None:
+            return None
         checked = scratch.save(linked(pairs, cut, percent), f"checked{k}")
         named, good = checked.agg(F.count("*"), F.sum(F.col("linked").cast("long"))).first()
         tried = checked if tried is None else tried.unionByName(checked)
         if good:
             label = components(scratch, tried.where("linked").select("a", "b"))
-        scratch.drop(f"pairs{k}")
         if not more:
             break
+        if not k and pieces is None:
+            # a set that has named none has none to link with
+            points = scratch.save(points.join(small(new), "node", "left_semi"), "open")
+            scratch.drop("points")
+        scratch.drop(f"pairs{k}", f"ids{k}")
         more, k = 2 * (good or 0) > named, k + 1
-    scratch.drop("points", "fragments", "large")
     return label
 
 
@@ -357,6 +375,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIE
     members = scratch.save(digested(docs, n), "members")
     real = members.where("size > 0 AND doc_id IS NOT NULL")
     label = connected(scratch, docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), real, n, percent, piece)
+    members, real = members.drop(*BITS), real.drop(*BITS)
     # copies meet before components do, so a large group sends few rows
     classes = real.groupBy("a", "b", "size").agg(F.min("doc_id").alias("least"))
     if label is not None:

@@ -2,7 +2,7 @@
 
 For each language, probabilities of the pieces of a fixed public vocabulary are
 fitted by expectation-maximisation; a text's likelihood sums over all ways of
-cutting its words into pieces (forward algorithm), once per distinct word.
+cutting its whole words into pieces (forward algorithm), once per distinct word.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from tickforge.llm.kernels import U, Words, mix, slices
 #: Labelled documents at most that the model is fitted on, the first by a hash of doc_id.
 SAMPLE = 1500
 STEPS, SMOOTH = 3, 0.05
-#: Bytes of a word that are segmented together; a longer word is cut into stretches of so many.
-STRETCH = 24
-LONGEST = 14
+#: Bytes of the longest words that the model is fitted on. Longer ones are scored like any other.
+LEARNED = 32
+#: Bytes from which a word is segmented on its own, and starts in it that are looked up together.
+LONG, STRETCH = 256, 4096
 #: Bytes of text whose distinct words are scored together.
 TOGETHER = 1 << 23
 UNKNOWN = "und"
@@ -34,104 +35,133 @@ class Model:
     langs: list[str]
     keys: np.ndarray  # sorted hashes of the pieces, the 256 single bytes among them
     probs: np.ndarray  # pieces x langs
+    longest: int  # bytes of the longest piece
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted hashes of the vocabulary's pieces as bytes (word start: a space), and of every single byte as a fallback."""
+def hash_of(piece: bytes) -> int:
+    h = 0
+    for b in piece:
+        h = (h * int(_STEP) + b + 1) % (1 << 64)
+    return h
+
+
+def vocabulary(path: str) -> tuple[np.ndarray, int]:
+    """(sorted hashes of all the vocabulary's pieces as bytes, word start being a space, and of every single byte as a fallback; the longest one's bytes)."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
     pieces = {bytes([b]) for b in range(256)}
     for i in range(sp.get_piece_size()):
         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
-            piece = sp.id_to_piece(i).replace("▁", " ").encode()
-            if 0 < len(piece) <= LONGEST:
-                pieces.add(piece)
-    out = np.zeros(len(pieces), U)
-    for k, piece in enumerate(pieces):
-        h = 0
-        for b in piece:
-            h = (h * int(_STEP) + b + 1) % (1 << 64)
-        out[k] = h
-    return np.unique(mix(out))
-
-
-def lattice(keys: np.ndarray, letters: np.ndarray):
-    """(start, end, rows, piece) of all pieces in the rows of a byte matrix."""
-    for i in range(letters.shape[1]):
-        h = np.zeros(len(letters), U)
-        for j in range(i, min(i + LONGEST, letters.shape[1])):
-            h = h * _STEP + letters[:, j].astype(U) + U(1)
-            m = mix(h)
-            at = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
-            rows = np.flatnonzero(keys[at] == m)
-            if len(rows):
-                yield i, j + 1, rows, at[rows]
+            pieces.add(sp.id_to_piece(i).replace("▁", " ").encode())
+    pieces.discard(b"")
+    return np.unique(mix(np.array([hash_of(p) for p in pieces], U))), max(map(len, pieces))
+
+
+def found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the hashes that are a piece's, those pieces)."""
+    m = mix(h)
+    at = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
+    rows = np.flatnonzero(keys[at] == m)
+    return rows, at[rows]
+
+
+def lattice(keys: np.ndarray, letters: np.ndarray, longest: int):
+    """For each start in the rows of a byte matrix, in order: (start, [(bytes, rows, pieces)])."""
+    m, n = letters.shape
+    if n <= LONG:
+        for i in range(n):
+            h, out = np.zeros(m, U), []
+            for size in range(1, min(longest, n - i) + 1):
+                h = h * _STEP + letters[:, i + size - 1].astype(U) + U(1)
+                rows, piece = found(keys, h)
+                if len(rows):
+                    out.append((size, rows, piece))
+            yield i, out
+        return
+    # one long word at a time: all its starts in a stretch are looked up together
+    one = np.zeros(1, np.int64)
+    for lo in range(0, n, STRETCH):
+        starts = np.arange(lo, min(lo + STRETCH, n))
+        h, here = np.zeros(len(starts), U), [[] for _ in starts]
+        for size in range(1, longest + 1):
+            inside = starts + size <= n
+            h = h * _STEP + letters[0, np.minimum(starts + size - 1, n - 1)].astype(U) + U(1)
+            rows, piece = found(keys, h)
+            for k, p in zip(rows.tolist(), piece.tolist(), strict=True):
+                if inside[k]:
+                    here[k].append((size, one, np.array([p])))
+        yield from zip(starts.tolist(), here, strict=True)
 
 
 def by_length(words: list[bytes]):
-    """(indices, byte matrix) for the words of each length."""
-    sizes = np.array([len(w) for w in words])
+    """(indices, byte matrix) for the words of each length; a long word is a matrix of its own."""
+    sizes = np.array([len(w) for w in words], np.int64)
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        yield at, np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), n)
-
-
-def cut(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The stretches of the words (a space first), and each one's word."""
-    parts, of = [], []
-    for k, w in enumerate(words):
-        w = b" " + w
-        for i in range(0, len(w), STRETCH):
-            parts.append(w[i : i + STRETCH])
-            of.append(k)
-    return parts, np.array(of, np.int64)
-
-
-def forward(model_keys: np.ndarray, probs: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Log likelihood of each word (rows) by language, over all segmentations."""
-    parts, of = cut(words)
-    out = np.zeros((len(words), probs.shape[1]))
-    for at, letters in by_length(parts):
-        alpha = np.zeros((letters.shape[1] + 1, len(at), probs.shape[1]))
-        alpha[0] = 1
-        for i, j, rows, piece in lattice(model_keys, letters):
-            alpha[j, rows] += alpha[i, rows] * probs[piece]
-        np.add.at(out, of[at], np.log(np.maximum(alpha[-1], 1e-300)))
+        for part in [at] if n <= LONG else at[:, None]:
+            yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), n)
+
+
+def forward(model: Model, words: list[bytes]) -> np.ndarray:
+    """Log likelihood of each whole word (rows; a space goes before it) by language, over all segmentations.
+
+    Only the sums that the longest piece can still reach are held; they are scaled on the way.
+    """
+    out = np.zeros((len(words), len(model.langs)))
+    ring = model.longest + 1
+    for at, letters in by_length([b" " + w for w in words]):
+        m, n = letters.shape
+        sums = np.zeros((ring, m, len(model.langs)))
+        sums[0] = 1
+        logs = np.zeros((m, len(model.langs)))
+        for i, pieces in lattice(model.keys, letters, model.longest):
+            if i % 16 == 15:
+                top = sums.max(axis=0)
+                sums /= top
+                logs += np.log(top)
+            now = sums[i % ring].copy()
+            sums[i % ring] = 0
+            for size, rows, piece in pieces:
+                sums[(i + size) % ring, rows] += now[rows] * model.probs[piece]
+        out[at] = logs + np.log(sums[n % ring])
     return out
 
 
 def fit(path: str, counted: dict[tuple[str, str], int]) -> Model | None:
-    """A model from counts of (language, word)."""
+    """A model from counts of (language, word), by expectation-maximisation over the words of at most LEARNED bytes."""
     langs = sorted({k for k, _ in counted})
     if not langs:
         return None
-    keys = vocabulary(path)
-    index = {w: k for k, w in enumerate(sorted({w for _, w in counted}))}
+    keys, longest = vocabulary(path)
+    words = sorted({w.encode() for _, w in counted if len(w.encode()) <= LEARNED})
+    index = {w: k for k, w in enumerate(words)}
     weight = np.zeros((len(index), len(langs)))
     for (lang, word), n in counted.items():
-        weight[index[word], langs.index(lang)] += n
-    parts, of = cut([w.encode() for w in index])
+        if word.encode() in index:
+            weight[index[word.encode()], langs.index(lang)] += n
     probs = np.full((len(keys), len(langs)), 1 / len(keys))
-    groups = [(at, letters, list(lattice(keys, letters))) for at, letters in by_length(parts)]
+    groups = [(at, letters.shape[1], list(lattice(keys, letters, longest))) for at, letters in by_length([b" " + w for w in words])]
     for _ in range(STEPS):
         mass = np.full_like(probs, SMOOTH)
-        for at, letters, edges in groups:
-            n = letters.shape[1]
+        for at, n, edges in groups:
             alpha = np.zeros((n + 1, len(at), len(langs)))
             beta = np.zeros_like(alpha)
             alpha[0], beta[n] = 1, 1
-            for i, j, rows, piece in edges:
-                alpha[j, rows] += alpha[i, rows] * probs[piece]
-            for i, j, rows, piece in reversed(edges):
-                beta[i, rows] += beta[j, rows] * probs[piece]
-            scale = weight[of[at]] / np.maximum(alpha[n], 1e-300)
-            for i, j, rows, piece in edges:
-                part = alpha[i, rows] * probs[piece] * beta[j, rows] * scale[rows]
-                for k in range(len(langs)):
-                    mass[:, k] += np.bincount(piece, part[:, k], len(keys))
+            for i, pieces in edges:
+                for size, rows, piece in pieces:
+                    alpha[i + size, rows] += alpha[i, rows] * probs[piece]
+            for i, pieces in reversed(edges):
+                for size, rows, piece in pieces:
+                    beta[i, rows] += beta[i + size, rows] * probs[piece]
+            scale = np.where(alpha[n] > 1e-290, weight[at] / np.maximum(alpha[n], 1e-290), 0.0)
+            for i, pieces in edges:
+                for size, rows, piece in pieces:
+                    part = alpha[i, rows] * probs[piece] * beta[i + size, rows] * scale[rows]
+                    for k in range(len(langs)):
+                        mass[:, k] += np.bincount(piece, part[:, k], len(keys))
         probs = mass / mass.sum(axis=0)
-    return Model(langs, keys, probs)
+    return Model(langs, keys, probs, longest)
 
 
 def score(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +172,7 @@ def score(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         raw = buf.tobytes()
         distinct = [raw[w.starts[i] : w.ends[i]] for i in first]
-        logs = forward(model.keys, model.probs, distinct)[inverse]
+        logs = forward(model, distinct)[inverse]
         sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         total = sums[w.first[1:]] - sums[w.first[:-1]]
         top = total.argmax(axis=1)

@@ -2,11 +2,13 @@
 
 Tokens come from a public tokenizer file. Packing is online: a fixed number of open bins, kept
 as a bitset keyed by free space; a piece goes to the fullest bin it fits, and
-when all bins are open the fullest one closes.
+when all bins are open the fullest one closes. Pieces arrive in runs of bounded length, the
+longest of a run first, which leaves short ones to fill what is open.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +22,10 @@ from tickforge.llm.scratch import Scratch
 LENGTH, END_ID = 1024, 2
 #: Bins open at once in one partition.
 OPEN = 4096
+#: Pieces in a run, and the least that a task packs.
+RUN = 8192
 # How the byte-level tokenizer file splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = "It's 12 étés,  we\n\n\tsee ñandú 日本 <|endoftext|> ½  x'll \u00a0 end  "
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _worker: dict = {}
 
@@ -34,25 +37,34 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def probes() -> list[str]:
+    """Texts on which two tokenizer libraries have to agree: all kinds of characters alone, in runs, and mixed."""
+    every = [chr(c) for c in [*range(0x500), *range(0x600, 0x700), *range(0x900, 0x980), *range(0x2000, 0x2300), *range(0x3040, 0x3100), *range(0x4E00, 0x4E80), *range(0xFF00, 0xFF60), *range(0x1F600, 0x1F640)]]
+    r = random.Random(5)
+    common = "aeinrstldo  \n\t'\u00a0.,-01239sS"
+    mixed = ["".join(r.choice(common if r.random() < 0.8 else every) for _ in range(400)) for _ in range(40)]
+    return [" ".join(every), "".join(c + c + " " for c in every), "It's we'll they've I'm you'd 'RE 's", *mixed]
+
+
 def tokenizer(path: str):
-    """A function from text to ids for a tokenizer file.
+    """A function from text to ids for a tokenizer file, as its own library's encode() without added special tokens gives them.
 
     A byte-level vocabulary whose ids are its merge ranks is run by the quicker
-    library, which must agree on a probe of scripts, digits, spaces and
-    special strings; otherwise the file's own library does all.
+    library if both agree on all probes. A text with one of the file's
+    special strings always goes to the file's own library.
     """
     if path not in _worker:
         import tiktoken
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         plain = lambda text: own.encode(text, add_special_tokens=False).ids
         special = {t.content for t in own.get_added_tokens_decoder().values()}
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in own.get_vocab().items() if token not in special and all(c in letters for c in token)}
         quick = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _worker[path] = quick if quick(PROBE) == plain(PROBE) else plain
+        same = all(quick(p) == plain(p) for p in probes())
+        _worker[path] = (lambda text: plain(text) if any(s in text for s in special) else quick(text)) if same else plain
     return _worker[path]
 
 
@@ -115,6 +127,21 @@ class OpenBins:
         return bin_
 
 
+def runs(batches: Iterator[pa.RecordBatch], length: int = RUN) -> Iterator[pa.Table]:
+    """The rows of the batches in order, in tables of so many; the last may be shorter."""
+    held, n = [], 0
+    for batch in batches:
+        while len(batch):
+            take = batch.slice(0, length - n)
+            held.append(take)
+            batch, n = batch.slice(len(take)), n + len(take)
+            if n == length:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, most: int = OPEN, ids: bool = False) -> DataFrame:
     """Every piece with sequence_id and offset: (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
@@ -124,17 +151,21 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, most: int = OPEN, ids
     """
     spark = docs.sparkSession
     pieces = Scratch(spark, "pack").save(cut_pieces(docs, path, length, ids), "pieces")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few tasks: each leaves some bins open at its end
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, pieces.count() // RUN))
     dealt = pieces.repartition(parts, "doc_id", "piece").sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32")
 
     def place(batches):
         from pyspark import TaskContext
 
         bins, base = OpenBins(length, most), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            put = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
-            extra = [pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "sequence_id", "offset"])
+        for run in runs(batches):
+            sizes = run.column("length").to_numpy()
+            put = np.zeros((len(sizes), 2), np.int64)
+            for k in np.argsort(-sizes, kind="stable").tolist():
+                put[k] = bins.place(int(sizes[k]))
+            run = run.append_column("sequence_id", pa.array(base + put[:, 0])).append_column("offset", pa.array(np.ascontiguousarray(put[:, 1])))
+            yield from run.combine_chunks().to_batches()
 
     kinds = PIECES + ", ids array<int>" * ids
     return dealt.mapInArrow(place, f"{kinds}, sequence_id long, offset long")

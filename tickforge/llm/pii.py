@@ -2,8 +2,9 @@
 
 The network is trained in numpy on windows of the documents, labelled by the
 patterns' spans. Overlapping windows are decoded and reconciled over the whole
-text: each character takes its label from the window in which it is most central.
-Every window of every text is decoded, and the training windows are drawn from all.
+text: each character takes its label from the window in which it is most central, and
+a span is widened to the letters and digits that it would cut through.
+Every window of every text is decoded, and the training windows are drawn from all texts.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import U, mix, slices
 
 KINDS = ("email", "ip", "card", "phone")
-SIZE, STRIDE = 64, 32
-#: Windows at most that the network is trained on, the first by a hash of document and place.
-SAMPLE = 1200
-STEPS, BATCH, HIDDEN, EMBED, RATE = 120, 96, 16, 12, 0.02
+SIZE, STRIDE = 128, 96
+#: Windows at most that the network is trained on, half of them with base spans, the first by a hash of document and place.
+SAMPLE = 1600
+STEPS, BATCH, HIDDEN, EMBED, RATE = 200, 64, 12, 12, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -91,8 +93,17 @@ def labels(text: str) -> np.ndarray:
     return out
 
 
+def squashed(x: np.ndarray) -> np.ndarray:
+    """Into (-1, 1), by x / (1 + |x|)."""
+    return x / (1 + np.abs(x))
+
+
 class Network:
-    """Embedding, LSTM in both directions, linear scores, CRF transitions."""
+    """Embedding, LSTM in both directions, linear scores, CRF transitions.
+
+    Gates are linear between 0 and 1, and cells are squashed without exponentials: every
+    character of a corpus goes through them.
+    """
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -107,12 +118,12 @@ class Network:
         inner = x @ w[:EMBED] + b
         for i in range(t):
             z = inner[:, i] + h @ w[EMBED:]
-            s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
+            s = np.clip(z[:, : 3 * HIDDEN] / 4 + 0.5, 0, 1)
             f, g, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-            new = np.tanh(z[:, 3 * HIDDEN :])
+            new = squashed(z[:, 3 * HIDDEN :])
             before, h_before = c, h
             c = f * c + g * new
-            th = np.tanh(c)
+            th = squashed(c)
             h = o * th
             out[:, i] = h
             kept.append((f, g, o, new, before, th, h_before))
@@ -125,8 +136,9 @@ class Network:
         for i in range(t - 1, -1, -1):
             f, g, o, new, before, th, h_before = kept[i]
             dh = dh + d_out[:, i]
-            dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * before * f * (1 - f), dc * new * g * (1 - g), dh * th * o * (1 - o), dc * g * (1 - new * new)], axis=1)
+            dc = dc + dh * o * (1 - np.abs(th)) ** 2
+            open_ = lambda s: ((s > 0) & (s < 1)) / 4
+            dz = np.concatenate([dc * before * open_(f), dc * new * open_(g), dh * th * open_(o), dc * g * (1 - np.abs(new)) ** 2], axis=1)
             dw[:EMBED] += x[:, i].T @ dz
             dw[EMBED:] += h_before.T @ dz
             db += dz.sum(0)
@@ -180,21 +192,26 @@ class Network:
         return self
 
     def quick_scores(self, x: np.ndarray) -> np.ndarray:
-        """scores() in single precision, of nothing but the outputs; inputs are looked up by character, gates are tanh of the half."""
+        """scores() in single precision, of nothing but the outputs; inputs are looked up by character, the gates' scale is in the weights."""
         n, t = x.shape
         out = np.empty((t, n, 2 * HIDDEN), np.float32)
-        half = np.repeat([0.5, 1.0], [3 * HIDDEN, HIDDEN])
+        gate = np.repeat([0.25, 1.0], [3 * HIDDEN, HIDDEN])
+        middle = np.repeat([0.5, 0.0], [3 * HIDDEN, HIDDEN])
+        one = np.float32(1)
         for w, b, own, places in ((self.p["Wf"], self.p["bf"], slice(None, HIDDEN), range(t)), (self.p["Wb"], self.p["bb"], slice(HIDDEN, None), range(t - 1, -1, -1))):
-            table = ((self.p["E"] @ w[:EMBED] + b) * half).astype(np.float32)
-            inner = (w[EMBED:] * half).astype(np.float32)
+            table = ((self.p["E"] @ w[:EMBED] + b) * gate + middle).astype(np.float32)
+            inner = (w[EMBED:] * gate).astype(np.float32)
             h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
             for i in places:
                 z = table[x[:, i]]
                 z += h @ inner
-                np.tanh(z, out=z)
-                s = z[:, : 3 * HIDDEN] * np.float32(0.5) + np.float32(0.5)
-                c = s[:, :HIDDEN] * c + s[:, HIDDEN : 2 * HIDDEN] * z[:, 3 * HIDDEN :]
-                h = s[:, 2 * HIDDEN :] * np.tanh(c)
+                new = z[:, 3 * HIDDEN :]
+                new = new / (one + np.abs(new))
+                s = np.clip(z[:, : 3 * HIDDEN], np.float32(0), one)
+                c *= s[:, :HIDDEN]
+                c += s[:, HIDDEN : 2 * HIDDEN] * new
+                h = s[:, 2 * HIDDEN :] * c
+                h /= one + np.abs(c)
                 out[i, :, own] = h
         return (out @ self.p["V"].astype(np.float32) + self.p["c"].astype(np.float32)).transpose(1, 0, 2)
 
@@ -228,29 +245,58 @@ def windows(text: str, starts: np.ndarray) -> np.ndarray:
     return c[starts[:, None] + np.arange(SIZE)]
 
 
-def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, tags) of the sample."""
+def holding(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of a text's windows, whether each one holds a part of a base span)."""
+    starts = window_starts(len(text))
+    held = np.zeros(len(starts) + 1, np.int64)
+    for _, a, b in patterns(text):
+        held[max(0, (a - SIZE) // STRIDE + 1)] += 1
+        held[(b - 1) // STRIDE + 1] -= 1
+    return starts, np.cumsum(held[:-1]) > 0
+
 
-    def cut(batches):
-        rows = []
+def training_windows(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, tags) of the sample: half of windows that hold a part of a base span, half of any window.
+
+    Windows come from all texts, in order of a hash. A first pass counts both kinds, which says
+    below which hash about four times each half lies; so all tasks together send no
+    more than that to the driver, whatever their number.
+    """
+
+    def count(batches):
         for batch in batches:
-            for doc, text in texts_of(batch):
-                starts = window_starts(len(text))
-                h = mix(starts.astype(U) + U(zlib.crc32(f"{doc}".encode()) << 32)) >> U(1)
-                least = rows[SAMPLE - 1][0] if len(rows) >= SAMPLE else 1 << 63
-                at = np.flatnonzero(h <= U(least))
-                if not len(at):
-                    continue
-                y = np.concatenate([labels(text), np.zeros(SIZE, np.int64)])
-                for k, x in zip(at.tolist(), windows(text, starts[at]), strict=True):
-                    rows.append((int(h[k]), x.tobytes() + y[starts[k] : starts[k] + SIZE].astype(np.uint8).tobytes()))
-                if len(rows) > 2 * SAMPLE or least == 1 << 63:
-                    rows = sorted(rows)[:SAMPLE]
-        rows = sorted(rows)[:SAMPLE]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "data"])
-
-    found = docs.mapInArrow(cut, "h long, data binary").orderBy("h", "data").limit(SAMPLE).collect()
-    both = np.frombuffer(b"".join(r["data"] for r in found), np.uint8).reshape(-1, 2, SIZE).astype(np.int64)
+            held = [holding(text)[1] for _, text in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, held))], pa.int64()), pa.array([sum(int(x.sum()) for x in held)], pa.int64())], names=["n", "k"])
+
+    def cut(kind: int, most: int):
+        def run(batches):
+            for batch in batches:
+                hs, data = [], []
+                for doc, text in texts_of(batch):
+                    starts, held = holding(text)
+                    h = mix(starts.astype(U) + U(zlib.crc32(f"{doc}".encode()) << 32)) >> U(1)
+                    at = np.flatnonzero((h < U(most)) & (held if kind else True))
+                    if not len(at):
+                        continue
+                    y = np.concatenate([labels(text), np.zeros(SIZE, np.int64)])
+                    for k, x in zip(at.tolist(), windows(text, starts[at]), strict=True):
+                        hs.append(int(h[k]))
+                        data.append(x.tobytes() + y[starts[k] : starts[k] + SIZE].astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(data, pa.binary())], names=["h", "data"])
+
+        return run
+
+    sums = docs.mapInArrow(count, "n long, k long").agg(F.sum("n"), F.sum("k")).first()
+    every, half = [], sample // 2
+    for kind, total in enumerate(n or 0 for n in sums):
+        most, found = min(1 << 63, int((1 << 63) * (4 * half / max(total, 1)))), []
+        while total:
+            found = docs.mapInArrow(cut(kind, most), "h long, data binary").orderBy("h", "data").limit(half).collect()
+            if len(found) >= min(half, total) or most == 1 << 63:
+                break
+            most = min(1 << 63, 4 * most)
+        every += found
+    both = np.frombuffer(b"".join(r["data"] for r in every), np.uint8).reshape(-1, 2, SIZE).astype(np.int64)
     return both[:, 0], both[:, 1]
 
 
@@ -282,6 +328,22 @@ def reconcile(length: int, starts: np.ndarray, tags: np.ndarray) -> list[tuple[i
     return out
 
 
+def whole(text: str, a: int, b: int, least: int) -> tuple[int, int]:
+    """A decoded span without spaces at its ends, widened to whole runs of letters and digits; nothing before least is taken."""
+    a = max(a, least)
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    if a >= b:
+        return a, a
+    while a > least and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    return a, b
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -313,7 +375,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 starts = [window_starts(len(t)) for t in texts]
                 wide = [windows(t, at) for t, at in zip(texts, starts, strict=True)]
                 flat = np.concatenate(wide) if wide else np.zeros((0, SIZE), np.uint8)
-                tags = np.concatenate([net.decode(flat[i : i + 1024]) for i in range(0, len(flat), 1024)]) if len(flat) and shared.value else np.zeros(flat.shape, np.int8)
+                tags = np.concatenate([net.decode(flat[i : i + 2048]) for i in range(0, len(flat), 2048)]) if len(flat) and shared.value else np.zeros(flat.shape, np.int8)
                 said = tags.any(1)
                 at = 0
                 for k, text, s in zip(rows, texts, starts, strict=True):
@@ -325,6 +387,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                         taken[a:b] = True
                     extra = []
                     for kind, a, b in reconcile(len(text), s, tags[at : at + len(s)]) if said[at : at + len(s)].any() else []:
+                        a, b = whole(text, a, b, extra[-1][2] if extra else 0)
                         if b > a and not taken[a:b].any():
                             extra.append((kind, a, b))
                             taken[a:b] = True

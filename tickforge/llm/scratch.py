@@ -14,13 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a narrow side up to which it is broadcast; beyond, it is shuffled.
+SMALL = 500_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local session without one may use the machine's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/scratch"
+    return root.rstrip("/")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of a few short columns, with a hint: broadcast up to SMALL rows, a sorted merge beyond."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
+
+
 class Scratch:
     """Tables of one operator call; drop() removes those that are used up."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/scratch"
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
