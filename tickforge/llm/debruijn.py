@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import U, Prefix, Words, slices
-from tickforge.llm.repeats import ALL, PACKED, ask, buckets_for, by_document, dealt, entries, flat, grouped, merged, packed, sliding_argmin, unpacked
+from tickforge.llm.repeats import ALL, PACKED, ask, buckets_for, by_document, dealt, entries, flat, grouped, merged, packed, sliding_argmin, tagged, unpacked
 from tickforge.llm.scratch import Scratch
 
 WINDOW, GRAM = 13, 7
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_ASKED = np.dtype([("s", "<u8"), ("doc", "<i8")])
+_ASKED = np.dtype([("s", "<u8"), ("doc", "<i8"), ("tag", "<i8")])
 
 
 def windows(buf: np.ndarray, offsets: np.ndarray, window: int, gram: int):
@@ -38,18 +38,20 @@ def windows(buf: np.ndarray, offsets: np.ndarray, window: int, gram: int):
 
 
 def shared_minimisers(docs: DataFrame, n: int, window: int, gram: int) -> DataFrame:
-    """(doc_id, s): the minimisers of a document that other documents have as well."""
+    """(doc_id, tag, s): the minimisers of a document that other documents have as well."""
+
     def send(batches):
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
-            for lo, _, buf, offsets in slices(batch.column(1)):
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            parts = []
+            for lo, _, buf, offsets in slices(batch.column(2)):
                 _, doc, _, s, _ = windows(buf, offsets, window, gram)
                 new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])])) if len(s) else []
                 e = np.zeros(len(new), _ASKED)
-                e["s"], e["doc"] = s[new], ids[lo + doc[new]]
+                e["s"], e["doc"], e["tag"] = s[new], ids[lo + doc[new]], tags[lo + doc[new]]
                 parts.append(e)
             e = np.concatenate(parts) if parts else np.zeros(0, _ASKED)
-            e = e[np.lexsort((e["doc"], e["s"]))]
+            e = e[np.lexsort((e["tag"], e["doc"], e["s"]))]
             new = np.concatenate([[True], e[1:] != e[:-1]]) if len(e) else np.zeros(0, bool)
             e = e[new]
             first = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]])) if len(e) else np.zeros(0, np.int64)
@@ -81,21 +83,22 @@ def shared_minimisers(docs: DataFrame, n: int, window: int, gram: int) -> DataFr
             yield grouped(e[shared & ~many], n)
 
     sent = docs.mapInArrow(send, "bucket long, data binary, kind int").repartition(n, "bucket")
-    return by_document(sent.mapInArrow(receive, PACKED), _ASKED, n, "doc_id long, s array<long>")
+    return by_document(sent.mapInArrow(receive, PACKED), _ASKED, n, "doc_id long, tag long, s array<long>")
 
 
 def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, Scratch]:
-    """(doc_id, a, b): places of the windows that a document with a smaller id has as well."""
+    """(doc_id, tag, a): places of the windows that a document with a smaller id has as well; docs: rows of tagged()."""
     scratch = Scratch(docs.sparkSession, "debruijn")
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tag", "text")
     n = buckets_for(docs)
     shared = scratch.save(shared_minimisers(docs, n, window, gram), "shared")
     scratch.drop()
 
     def edges(batch):
-        ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
-        row, s = flat(batch.column(2))
-        for lo, hi, buf, offsets in slices(batch.column(1)):
+        ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        out = []
+        row, s = flat(batch.column(3))
+        for lo, hi, buf, offsets in slices(batch.column(2)):
             w, doc, at, m, prefix = windows(buf, offsets, window, gram)
             a, b = np.searchsorted(row, [lo, hi])
             # a document's shared minimisers: found by the pair of text and hash
@@ -106,17 +109,17 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
             doc, at = doc[hit], at[hit]
             h = prefix.hash(at, at + window)
             local = at - w.first[:-1][doc]
-            out.append(entries(ids[lo + doc], local, local, h, h))
-        return np.concatenate(out) if out else entries([], [], [], [], [])
+            out.append(entries(ids[lo + doc], tags[lo + doc], local, local, h, h))
+        return np.concatenate(out) if out else entries([], [], [], [], [], [])
 
-    asked = docs.join(shared, "doc_id").select("doc_id", "text", "s")
+    asked = docs.join(shared, ["doc_id", "tag"]).select("doc_id", "tag", "text", "s")
     found = ask(asked, edges, n, True)
-    found = found.select("doc_id", F.filter(F.arrays_zip("a", "code"), lambda z: z["code"].bitwiseAND(ALL) > 0)["a"].alias("a"))
+    found = found.select("doc_id", "tag", F.filter(F.arrays_zip("a", "code"), lambda z: z["code"].bitwiseAND(ALL) > 0)["a"].alias("a"))
     return scratch.save(found, "edges"), scratch
 
 
 def keep_words(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The digest of the kept words of every document."""
+    """The digest of the kept words of every row of tagged()."""
 
     def strip(batches):
         for batch in batches:
@@ -133,16 +136,25 @@ def keep_words(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataF
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    joined = docs.join(found, ["doc_id", "tag"], "left")
     return joined.select("doc_id", "text", "a").mapInArrow(strip, RESULT)
 
 
-def debruijn_query(spark, sf_dir: str) -> DataFrame:
-    """op7 over all documents. Null texts have no words; a null doc_id keeps all words; no rows give none."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found, scratch = repeated_edges(docs)
+def word_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row, judged by its own text.
+
+    doc_id: an integer. Rows of one doc_id don't repeat each other, as none has a smaller id. Null texts have
+    no words; a row with a null doc_id keeps all words; other columns are ignored; no rows give none.
+    """
+    docs = tagged(docs)
+    found, scratch = repeated_edges(docs, window, gram)
     scratch.drop("shared")
-    return keep_words(docs, found)
+    return keep_words(docs, found, window)
+
+
+def debruijn_query(spark, sf_dir: str) -> DataFrame:
+    """op7 over all documents."""
+    return word_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 DEBRUIJN_SQL = r"""

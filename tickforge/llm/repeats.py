@@ -2,7 +2,7 @@
 
 Each window has an anchor, the least hash among the grams at its start places, so
 equal windows have equal anchors. Runs of windows with one anchor are asked about
-together; only what is repeated in part is cut into shorter runs and asked again.
+together; what is repeated in part is left to the caller.
 
 Asking: every batch settles what repeats inside it and sends one entry for each
 key to the key's bucket, however often the key occurs; buckets grow in number with the
@@ -14,15 +14,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import Prefix, U, mix
 
 #: Documents for each bucket.
 PER_BUCKET = 2000
 ALL, PART = 1, 2  # bits of a reply: the whole run repeats; parts of it may, so ask again
-_ENTRY = np.dtype([("s", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("many", "<u1"), ("phase", "<u1")])
-_REPLY = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("code", "<u1")])
-REPLIES = "doc_id long, a array<int>, b array<int>, code array<int>"
+# doc and tag name a row; tags are 0, and vanish when packed, where doc_id is unique
+_ENTRY = np.dtype([("s", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("a", "<i4"), ("b", "<i4"), ("many", "<u1")])
+REPLY = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("a", "<i4"), ("b", "<i4"), ("code", "<u1")])
+REPLIES = "doc_id long, tag long, a array<int>, b array<int>, code array<int>"
 PACKED = "bucket long, data binary"
 
 
@@ -76,38 +78,37 @@ def anchored_runs(prefix: Prefix, edges: np.ndarray, window: int, gram: int):
     return d, first - edges[d], last - edges[d], at[cut] - edges[d], g[at[cut]], prefix.hash(first, last + window)
 
 
-def subruns(prefix: Prefix, edges: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, phase: np.ndarray, window: int, step: int):
-    """The runs cut where their anchors say, into runs of at most step windows: (text, first, last, hash of what all share, hash of the run).
-
-    phase: how far the first window is behind a cut. What all share is taken as if a
-    run at the edge had all of its windows, so that it equals that of a whole one.
-    """
-    lead = a - phase
-    count = (b - lead) // step + 1
-    d, start, end = np.repeat(doc, count), np.repeat(a, count), np.repeat(b, count)
-    x = np.repeat(lead, count) + step * (np.arange(len(d)) - np.repeat(np.cumsum(count) - count, count))
-    first, last = np.maximum(x, start), np.minimum(x + step - 1, end)
-    shared = prefix.hash(x + step - 1 + edges[d], x + window + edges[d])
-    return d, first, last, shared, prefix.hash(first + edges[d], last + window + edges[d])
+def entries(doc, tag, a, b, s, k) -> np.ndarray:
+    out = np.zeros(len(doc), _ENTRY)
+    out["doc"], out["tag"], out["a"], out["b"], out["s"], out["k"] = doc, tag, a, b, s, k
+    return out
 
 
-def entries(doc, a, b, s, k, phase=0) -> np.ndarray:
-    """phase comes back with a reply: code // 4."""
-    out = np.zeros(len(doc), _ENTRY)
-    out["phase"] = phase
-    out["doc"], out["a"], out["b"], out["s"], out["k"] = doc, a, b, s, k
+def replies(doc, tag, a, b, code) -> np.ndarray:
+    out = np.zeros(len(doc), REPLY)
+    out["doc"], out["tag"], out["a"], out["b"], out["code"] = doc, tag, a, b, code
     return out
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): doc_id as a long, and what tells rows of one doc_id apart: a hash of the text, 0 for all if ids are unique.
+
+    Rows that repeat a doc_id and its text share the tag: they are alike in all that follows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return docs.withColumn("tag", F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text"))
+
+
 def settle(e: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
     """(entries to pass on, one or few for a key; replies that are certain already) of one batch.
 
     smaller: a run repeats only if a document with a smaller id has it. Otherwise
     any second place counts.
     """
-    e = e[np.lexsort((e["a"], e["doc"], e["k"], e["s"]))]
+    e = e[np.lexsort((e["a"], e["tag"], e["doc"], e["k"], e["s"]))]
     if not len(e):
-        return e, np.zeros(0, _REPLY)
+        return e, np.zeros(0, REPLY)
     new_s = np.concatenate([[True], e["s"][1:] != e["s"][:-1]])
     new_k = new_s | np.concatenate([[True], e["k"][1:] != e["k"][:-1]])
     s_id, k_id = np.cumsum(new_s) - 1, np.cumsum(new_k) - 1
@@ -125,16 +126,13 @@ def settle(e: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
     real = e["many"] < 2
     code = np.where(whole & real, ALL, 0) + np.where(part, PART, 0)
     hit = np.flatnonzero(code)
-    replies = np.zeros(len(hit), _REPLY)
-    for c in ("doc", "a", "b"):
-        replies[c] = e[c][hit]
-    replies["code"] = code[hit] + 4 * e["phase"][hit]
+    sure = replies(*(e[c][hit] for c in ("doc", "tag", "a", "b")), code[hit])
     # one entry for a key that has several runs; the leaders of a key with one
     on = np.where(wild, new_s, lead)
     out = e[on].copy()
     w = wild[on]
     out["many"] = np.where(w, 2, np.where(((size > 1) | many)[k_id][on], 1, 0) if not smaller else 0)
-    return out, replies
+    return out, sure
 
 
 def answer(e: np.ndarray, smaller: bool) -> np.ndarray:
@@ -143,7 +141,8 @@ def answer(e: np.ndarray, smaller: bool) -> np.ndarray:
 
 
 def ask(source: DataFrame, make, buckets: int, smaller: bool) -> DataFrame:
-    """(doc_id, a, b, code) for the runs that make(batch) gives as entries: those that repeat, wholly or maybe in part."""
+    """(doc_id, tag, a, b, code) for the runs that make(batch) gives as entries: those that repeat, wholly or maybe in part."""
+
     def send(batches):
         for batch in batches:
             e, direct = settle(make(batch), smaller)
@@ -157,28 +156,29 @@ def ask(source: DataFrame, make, buckets: int, smaller: bool) -> DataFrame:
         for batch in batches:
             for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind:
-                    yield grouped(unpacked(data, _REPLY), buckets)
+                    yield grouped(unpacked(data, REPLY), buckets)
                 else:
                     held.setdefault(bucket, []).append(unpacked(data, _ENTRY))
         for parts in held.values():
             yield grouped(answer(np.concatenate(parts), smaller), buckets)
 
     sent = source.mapInArrow(send, "bucket long, kind int, data binary").repartition(buckets, "bucket")
-    return by_document(sent.mapInArrow(receive, PACKED), _REPLY, buckets, REPLIES)
+    return by_document(sent.mapInArrow(receive, PACKED), REPLY, buckets, REPLIES)
 
 
 def grouped(r: np.ndarray, groups: int) -> pa.RecordBatch:
     """Replies as one packed row for each group of documents."""
-    r = r[np.argsort(mix(r["doc"].astype(U)), kind="stable")]
-    where = (mix(r["doc"].astype(U)) >> U(64 - max(1, (groups - 1).bit_length()))).astype(np.int64)
+    key = mix(r["doc"].astype(U) ^ r["tag"].astype(U))
+    by = np.argsort(key, kind="stable")
+    r, where = r[by], (key[by] >> U(64 - max(1, (groups - 1).bit_length()))).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(r) else []
     rows = [(int(where[i]), packed(r[i:j])) for i, j in zip(cuts, [*cuts[1:], len(r)][: len(cuts)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
 
 def by_document(replies: DataFrame, kind: np.dtype, groups: int, schema: str) -> DataFrame:
-    """All replies of a document in one row of lists (as many as it has runs at most); the record's first field is its doc."""
-    names = [n for n in kind.names if n != "doc"]
+    """All replies of a row (doc_id, tag) in lists, as many as it has runs at most."""
+    names = [n for n in kind.names if n not in ("doc", "tag")]
 
     def gather(batches):
         held: dict[int, list] = {}
@@ -187,11 +187,11 @@ def by_document(replies: DataFrame, kind: np.dtype, groups: int, schema: str) ->
                 held.setdefault(group, []).append(data)
         for parts in held.values():
             r = np.concatenate([unpacked(x, kind) for x in parts])
-            r = r[np.argsort(r["doc"], kind="stable")]
-            new = np.flatnonzero(np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]]))
+            r = r[np.lexsort((r["tag"], r["doc"]))]
+            new = np.flatnonzero(np.concatenate([[True], (r["doc"][1:] != r["doc"][:-1]) | (r["tag"][1:] != r["tag"][:-1])]))
             edges = pa.array(np.append(new, len(r)), pa.int32())
             lists = [pa.ListArray.from_arrays(edges, pa.array(r[c].view(np.int64) if kind[c] == np.dtype("<u8") else r[c].astype(np.int32))) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["doc"][new]), pa.int64()), *lists], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(r[c][new]), pa.int64()) for c in ("doc", "tag")), *lists], names=["doc_id", "tag", *names])
 
     return replies.repartition(groups, "bucket").mapInArrow(gather, schema)
 
