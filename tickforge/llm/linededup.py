@@ -93,7 +93,7 @@ def frequent_keys(docs: DataFrame, documents: int, depth: int) -> np.ndarray:
 
 
 def template_lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
-    """(doc_id, line, template, groups) of the lines whose keys are frequent.
+    """(doc_id, tag, line, template, groups) of the lines whose keys are frequent.
 
     template is a hash of the tokens in order; groups has, once for each template of a
     batch, hashes of the tokens but for one behind the leading ones (of all tokens where
@@ -136,16 +136,17 @@ def template_lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(per)])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(group.view(np.int64)))
                 groups = lists.take(pa.array(np.arange(len(at)), mask=~new))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(line[at], pa.int32()), pa.array(template.view(np.int64)), groups], names=["doc_id", "line", "template", "groups"])
+                rows = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[at], pa.int32()), pa.array(template.view(np.int64)), groups], names=["doc_id", "tag", "line", "template", "groups"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, template long, groups array<long>")
+    return docs.select("doc_id", "text", "tag").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, line int, template long, groups array<long>")
 
 
 def recurring(scratch: Scratch, lines: DataFrame, documents: int) -> DataFrame:
     """(template, first) of the templates that recur, alone or with all others that differ in one token; first is the first place of these."""
     # equal templates of a document meet before they are counted
-    once = scratch.save(lines.groupBy("template", "doc_id").agg(F.min("line").alias("line")), "once")
-    df = once.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("at"))
+    once = scratch.save(lines.groupBy("template", "doc_id").agg(F.min(F.struct("tag", "line")).alias("at")), "once")
+    df = once.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at.tag", "at.line")).alias("at"))
     groups = lines.where("groups IS NOT NULL").groupBy("template").agg(F.first("groups").alias("groups"))
     wild = scratch.save(df.join(groups.hint("merge"), "template").select("template", "n", "at", F.explode("groups").alias("group")), "wild")
     many = wild.groupBy("group").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("at").alias("first")).where(F.col("n") >= documents)
@@ -164,29 +165,34 @@ def drop_lines(docs: DataFrame, documents: int = DOCUMENTS, depth: int = DEPTH)
 
     The first place of a recurring template (smallest doc_id, then line) is kept. Lines
     without a word stay. Null texts stay null with no lines; a null doc_id is
-    never matched, so its rows are unchanged; rows that repeat a doc_id share what is
-    dropped; other columns are kept, n_lines and n_dropped replaced. No rows give none.
+    never matched, so its rows are unchanged; rows of one doc_id count as one document, but lose
+    lines each by its own text (the first place is in one of them; rows that repeat it in whole all keep it);
+    other columns are kept, n_lines and n_dropped replaced. No rows give none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     base = docs.drop("n_lines", "n_dropped")
-    known = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    twice = base.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    tag = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text")
+    known = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", tag.alias("tag"))
     bitmap = spark.sparkContext.broadcast(frequent_keys(known, documents, depth))
     scratch.drop()
     lines = scratch.save(template_lines(known, bitmap, depth), "lines")
     again = scratch.save(recurring(scratch, lines, documents), "recurring")
     scratch.drop("once", "wild", "many", "sure")
-    places = lines.select("doc_id", "line", "template").join(again.hint("merge"), "template")
-    gone = scratch.save(places.where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line"), "gone")
+    places = lines.select("doc_id", "tag", "line", "template").join(again.hint("merge"), "template")
+    gone = scratch.save(places.where(F.struct("doc_id", "tag", "line") != F.col("first")).select("doc_id", "tag", "line"), "gone")
     scratch.drop("lines", "recurring")
-    per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone_lines")).hint("merge")
-    joined = base.join(per, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
-    parts = F.split("text", "\n")
-    hit = F.col("_gone_lines").isNotNull() & F.col("text").isNotNull()
-    left = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("_gone_lines", i)), "\n")
+    per = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).agg(F.collect_set("line").alias("_gone_lines")).hint("merge")
+    joined = base.withColumn("_own_tag", tag).join(per, (F.col("doc_id") == F.col("_gone_id")) & (F.col("_own_tag") == F.col("_gone_tag")), "left").drop("_gone_id", "_gone_tag", "_own_tag")
+    joined = joined.withColumn("_parts", F.split("text", "\n"))
+    n = F.coalesce(F.size("_parts"), F.lit(0))
+    hit = F.col("_gone_lines").isNotNull() & (n > 0)
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), "_gone_lines")
+    left = F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")
     return joined.select(
         *(F.when(hit, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in base.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
