@@ -7,23 +7,34 @@ reference, its place in the output and its expanded token count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MID, END = "<|turn|>", "<|says|>", "<|end|>\n"
 #: Expanded tokens of a part: base + per * units, by type.
 EXPANSION = {"image": (2, 256), "audio": (2, 25), "document": (2, 512)}
-CONTROL = r"(<)(\||/?s>)|(\[)(/?INST\])"
+# Each of these characters of a text is written as a backslash and a letter, so nothing that texts
+# hold, alone or joined, reads as a mark, and the way back needs no look ahead.
+ESCAPES = {"<": "\\l", "[": "\\b"}
 
 
 def escape(text: Column) -> Column:
-    """Breaks every control string by a backslash behind its first character; backslashes are doubled."""
-    doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, CONTROL, r"$1$3\\$2$4")
+    """The text without control strings: no `<` and no `[` is left; backslashes are doubled."""
+    out = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    for char, code in ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(code))
+    return out
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """escape() undone: doubled backslashes separate stretches in which a backslash can only begin a code."""
+
+    def plain(part: Column) -> Column:
+        for char, code in ESCAPES.items():
+            part = F.replace(part, F.lit(code), F.lit(char))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def placeholder(kind: Column) -> Column:
@@ -40,7 +51,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
     placeholder's start. Null roles, texts, parts and part types ("text") count
     as empty; a part of an unknown type is written as its escaped text. Ties in
     turn go by role, then content; repeated rows are all kept. A null conv_id is a
-    conversation of its own. No rows give no rows.
+    conversation of its own. No rows give no rows. Places are running sums over turns, and over
+    the parts of turns with attachments, so a long conversation costs time in proportion.
     """
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
     attached = lambda p: kind(p).isin(*EXPANSION)
@@ -53,41 +65,32 @@ def format_chat(turns: DataFrame) -> DataFrame:
             out = F.when(kind(p) == name, base + per * units).otherwise(out)
         return out
 
-    parts = F.coalesce("parts", F.array().cast("array<struct<type:string,text:string,ref:string,units:int>>"))
-    role = F.coalesce("role", F.lit(""))
-    t = turns.select("conv_id", "turn", role.alias("role"), F.filter(parts, lambda p: p.isNotNull()).alias("parts"))
-    t = t.select(
-        "conv_id", "turn", "role", F.transform("parts", piece).alias("pieces"),
-        F.transform("parts", lambda p: F.struct(attached(p).alias("is"), kind(p).alias("type"), p["ref"].alias("ref"), cost(p).alias("tokens"))).alias("seen"),
-    )
+    empty = F.array().cast("array<struct<type:string,text:string,ref:string,units:int>>")
+    parts = F.filter(F.coalesce("parts", empty), lambda p: p.isNotNull())
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts")).withColumn("pieces", F.transform("parts", piece))
+    seen = F.transform("parts", lambda p: F.struct(attached(p).alias("is"), kind(p).alias("type"), p["ref"].alias("ref"), cost(p).alias("tokens")))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(MID))
-    t = t.select("conv_id", "turn", "role", head.alias("head"), F.array_join("pieces", "").alias("body"), F.transform("pieces", F.length).alias("sizes"), "seen")
-    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "body", "head", "sizes", "seen")))
-    whole = lambda r: F.concat(r["head"], r["body"], F.lit(END))
-
-    # where each turn begins: one fold over the turns, with the place so far
-    start = F.lit(0)
-    flat = t.groupBy("conv_id").agg(rows.alias("rows")).withColumn("formatted", F.array_join(F.transform("rows", whole), ""))
-    at = F.aggregate(
-        "rows", F.struct(start.alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, r: F.struct((acc["at"] + F.length(whole(r))).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-        lambda acc: acc["all"],
+    t = t.select("conv_id", "turn", "role", head.alias("head"), F.array_join("pieces", "").alias("body"), F.transform("pieces", F.length).alias("sizes"), seen.alias("seen"))
+    t = t.withColumn("whole", F.concat("head", "body", F.lit(END))).withColumn("size", F.length("whole"))
+    # no turn is empty, so its place names it; turns that tie in all are alike
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "body", F.to_json("seen")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("begin", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("int"))
+    mask = F.when(F.col("role") == "assistant", F.struct((F.col("begin") + F.length("head")).alias("start"), F.length("body").alias("length")))
+    whole = t.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("begin", "whole"))), lambda r: r["whole"]), "").alias("formatted"),
+        F.sort_array(F.collect_list(mask)).alias("loss_mask"),
     )
-    placed = flat.withColumn("rows", F.arrays_zip("rows", at.alias("begin")))
-    mask = F.transform(
-        F.filter("rows", lambda z: z["rows"]["role"] == "assistant"),
-        lambda z: F.struct((z["begin"] + F.length(z["rows"]["head"])).alias("start"), F.length(z["rows"]["body"]).alias("length")),
-    )
-
-    def attachments(z: Column) -> Column:
-        r, begin = z["rows"], z["begin"] + F.length(z["rows"]["head"])
-        before = lambda i: F.aggregate(F.slice(r["sizes"], F.lit(1), i), F.lit(0), lambda a, b: a + b)
-        each = F.transform(r["seen"], lambda s, i: F.struct(s["is"].alias("is"), s["type"].alias("type"), s["ref"].alias("ref"), (begin + before(i)).alias("start"), s["tokens"].alias("tokens")))
-        return F.transform(F.filter(each, lambda s: s["is"]), lambda s: F.struct(s["type"].alias("type"), s["ref"].alias("ref"), s["start"].alias("start"), s["tokens"].alias("tokens")))
-
-    found = F.flatten(F.transform("rows", attachments))
-    tokens = F.aggregate(F.flatten(F.transform("rows", lambda z: z["rows"]["seen"])), F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
-    return placed.select("conv_id", "formatted", mask.alias("loss_mask"), found.alias("attachments"), tokens.alias("expanded_tokens"))
+    place = Window.partitionBy("conv_id", "begin").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    more = t.where(F.exists("seen", lambda s: s["is"])).select("conv_id", "begin", (F.col("begin") + F.length("head")).alias("first"), F.posexplode(F.arrays_zip("seen", "sizes")).alias("at", "part"))
+    more = more.withColumn("start", (F.col("first") + F.coalesce(F.sum("part.sizes").over(place), F.lit(0))).cast("int")).where("part.seen.is")
+    found = more.groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.sort_array(F.collect_list(F.struct("start", F.col("part.seen.type").alias("type"), F.col("part.seen.ref").alias("ref"), F.col("part.seen.tokens").alias("tokens")))).alias("attachments"),
+        F.sum("part.seen.tokens").alias("expanded_tokens"),
+    )
+    both = whole.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    none = F.array().cast("array<struct<type:string,ref:string,start:int,tokens:bigint>>")
+    shown = F.transform("attachments", lambda a: F.struct(a["type"].alias("type"), a["ref"].alias("ref"), a["start"].alias("start"), a["tokens"].alias("tokens")))
+    return both.select("conv_id", "formatted", "loss_mask", F.coalesce(shown, none).alias("attachments"), F.coalesce("expanded_tokens", F.lit(0)).cast("long").alias("expanded_tokens"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -124,8 +127,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, length(regexp_replace(replace(role, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])', '\1\3#\2\4', 'g'))
-    + length(regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])', '\1\3#\2\4', 'g')) + 24 AS chars FROM t)
+  SELECT *, 2 * length(role || text) - length(regexp_replace(role || text, '[<\[\\]', '', 'g')) + 24 AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
