@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tickforge.llm.kernels import BASE, U, Prefix, Words, mix, powers, slices
 from tickforge.llm.scratch import Scratch
 
-#: Documents in which a template must occur to be dropped; leading tokens that choose the leaf.
-DOCUMENTS, DEPTH = 10, 3
+#: Documents in which a template must occur to be dropped; leading tokens that choose the leaf;
+#: tokens from which one may vary, so that merged lines are alike in three quarters at least.
+DOCUMENTS, DEPTH, LEAST = 10, 2, 4
 FIELD_HASH = U(0x2A2A2A2A2A2A2A2A)
 #: Size of the bitmap of frequent keys (8 MB whatever the input), and the bits of it that one task gathers at a time.
 BITS, BLOCK = 26, 1 << 21
@@ -48,13 +49,13 @@ def halves(prefix: Prefix, s: np.ndarray, e: np.ndarray, depth: int) -> tuple[np
 
     Lines that differ in one token of the second half share the first key, those
     that differ in one of the first half, behind the leading tokens, the second.
-    A line of no more than the leading tokens has its whole sequence as key.
+    A line of fewer than LEAST tokens has its whole sequence as key.
     """
     k = e - s
-    mid = s + np.where(k > depth, np.maximum(depth, (k + 1) // 2), k)
+    mid = s + np.where(k >= LEAST, np.maximum(depth, (k + 1) // 2), k)
     one = mix(prefix.hash(s, mid) + k.astype(U) * _ODD)
     more = mid - s > depth
-    more &= k > depth
+    more &= k >= LEAST
     two = mix(mix(prefix.hash(s, np.minimum(s + depth, e)) + k.astype(U) * _ODD) + prefix.hash(mid, e))
     return mid, one, two, more
 
@@ -96,8 +97,8 @@ def template_lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
     """(doc_id, tag, line, template, groups) of the lines whose keys are frequent.
 
     template is a hash of the tokens in order; groups has, once for each template of a
-    batch, hashes of the tokens but for one behind the leading ones (of all tokens where
-    there are no others), and is null in its other rows.
+    batch, hashes of the tokens but for one behind the leading ones (of all tokens of a
+    line with fewer than LEAST), and is null in its other rows.
     """
 
     def find(batches):
@@ -123,7 +124,7 @@ def template_lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
                 # tokens that may vary: those of the first half, of the second, or both
                 lo = np.where(early, s + depth, mid)
                 hi = np.where(late, e, mid)
-                short = e - s <= depth
+                short = e - s < LEAST
                 per = np.where(new, np.where(short, 1, hi - lo), 0)
                 row = np.repeat(np.arange(len(at)), per)
                 token = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + lo[row]
