@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.normal import cdf, quantile
+from tickforge.functions.windows import DAY_US, as_of, block_of, numbered, rolling, running
 
 _EULER = 0.5772156649015329
 YEAR_US = 365.25 * 86_400e6
 
 
-def _w() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("us")
+def in_order(path: DataFrame) -> DataFrame:
+    """path with bar_seq, its place in time order; blocks of it are what windows work on."""
+    return path if "bar_seq" in path.columns else numbered(path, "bar_seq", ["us"], block_of("us", DAY_US), 0)
 
 
 def periods_per_year(given: float | None = None) -> Column:
@@ -77,10 +79,12 @@ def drawdowns(path: DataFrame, dollars: bool = False) -> DataFrame:
     Depth is relative (or absolute); until_us is the next such mark's start, or the end
     of the path for the last one - not the recovery.
     """
-    hwm = F.max("equity").over(_w().rowsBetween(Window.unboundedPreceding, 0))
-    g = path.select("symbol", "us", "equity", hwm.alias("hwm")).groupBy("symbol", "hwm").agg(F.min("equity").alias("low"), F.min("us").alias("us"))
+    marked = running(in_order(path), "bar_seq", {"hwm": "equity"}, how="max")
+    g = marked.groupBy("symbol", "hwm").agg(F.min("equity").alias("low"), F.min("us").alias("us")).where("hwm > low")
     end = path.groupBy("symbol").agg(F.max("us").alias("_end"))
-    d = g.where("hwm > low").join(end, "symbol").withColumn("until_us", F.coalesce(F.lead("us").over(_w()), F.col("_end")))
+    g = g.withColumn("_at", F.col("us"))
+    d = as_of(g.withColumn("us", F.col("us") + 1), g.select("symbol", "us", F.col("_at").alias("_next")), ["_next"], forward=True).withColumn("us", F.col("_at"))
+    d = d.join(end, "symbol").withColumn("until_us", F.coalesce("_next", "_end"))
     depth = F.col("hwm") - F.col("low") if dollars else 1 - F.col("low") / F.col("hwm")
     return d.select("symbol", "us", depth.alias("drawdown"), "until_us")
 
@@ -90,11 +94,13 @@ def bet_timing(path: DataFrame, first_flat: bool = True) -> DataFrame:
 
     first_flat: a flat first row counts as an end too, which bet counts rely on.
     """
-    p, before = F.col("position"), F.lag("position").over(_w())
-    rows = path.withColumn("_before", before).withColumn("_last", F.lead("us").over(_w()).isNull())
+    p = F.col("position")
+    rows = rolling(in_order(path), "bar_seq", 1, [lambda w: {"_before": F.lag("position").over(w)}])
+    ends = path.groupBy("symbol").agg(F.max("us").alias("_end"))
+    rows = rows.join(ends, "symbol").withColumn("_last", F.col("us") == F.col("_end")).drop("_end")
     flat = (p == 0) & ((F.col("_before") != 0) | (F.col("_before").isNull() & F.lit(first_flat)))
     flip = p * F.col("_before") < 0
-    return rows.where(F.coalesce(flat, F.lit(False)) | F.coalesce(flip, F.lit(False)) | F.col("_last")).drop("_before", "_last")
+    return rows.where(F.coalesce(flat, F.lit(False)) | F.coalesce(flip, F.lit(False)) | F.col("_last")).select(*path.columns)
 
 
 def holding_period(path: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def holding_period(path: DataFrame) -> DataFrame:
             before = pos
         return pd.DataFrame({"symbol": [key[0]], "days": [spent / weight if weight else None]})
 
-    moved = path.withColumn("_b", F.lag("position").over(_w())).withColumn("_f", F.row_number().over(_w())).where("_f = 1 OR position <> _b")
+    moved = rolling(in_order(path), "bar_seq", 1, [lambda w: {"_b": F.lag("position").over(w)}]).where("_b IS NULL OR position <> _b")
     return moved.select("symbol", "us", "position").groupBy("symbol").applyInPandas(run, "symbol string, days double")
 
 

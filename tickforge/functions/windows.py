@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
+#: The block of a time axis.
+DAY_US = 86_400_000_000
 
 
 def full(agg: Column, of: Column | str, w: WindowSpec, k: int) -> Column:
@@ -37,16 +39,21 @@ def rolling(df: DataFrame, seq: str, halo: int, stages: list[Callable[[WindowSpe
     return out.where("_own = _blk").drop("_own", "_blk")
 
 
-def running(df: DataFrame, seq: str, sums: dict[str, Column | str], size: int = BLOCK) -> DataFrame:
-    """df with running sums (the own row included): block sums, their running sums, then sums inside blocks."""
+#: How running() aggregates, what it starts from, and how two results join.
+HOW = {"sum": (F.sum, 0, lambda a, b: a + b), "product": (F.product, 1, lambda a, b: a * b), "max": (F.max, None, F.greatest)}
+
+
+def running(df: DataFrame, seq: str, sums: dict[str, Column | str], size: int = BLOCK, how: str = "sum") -> DataFrame:
+    """df with running sums (products, maxima), the own row included: of blocks, of the blocks before, then inside blocks."""
+    agg, none, join = HOW[how]
     cols = {k: F.col(v) if isinstance(v, str) else v for k, v in sums.items()}
     df = df.withColumn("_blk", block_of(seq, size))
     before = Window.partitionBy("symbol").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    heads = df.groupBy("symbol", "_blk").agg(*(F.sum(c).alias(k) for k, c in cols.items()))
-    heads = heads.select("symbol", "_blk", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in cols))
+    heads = df.groupBy("symbol", "_blk").agg(*(agg(c).alias(k) for k, c in cols.items()))
+    heads = heads.select("symbol", "_blk", *(F.coalesce(agg(F.col(k)).over(before), F.lit(none)).alias(f"_{k}") for k in cols))
     w = Window.partitionBy("symbol", "_blk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(heads, ["symbol", "_blk"])
-    return out.withColumns({k: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_{k}") for k, c in cols.items()}).drop("_blk", *(f"_{k}" for k in cols))
+    return out.withColumns({k: join(F.coalesce(agg(c).over(w), F.lit(none)), F.col(f"_{k}")) for k, c in cols.items()}).drop("_blk", *(f"_{k}" for k in cols))
 
 
 def carried(df: DataFrame, seq: str, name: str, value: Column, size: int = BLOCK, strict: bool = False) -> DataFrame:
@@ -69,15 +76,25 @@ def numbered(df: DataFrame, name: str, order: list[str], bucket: Column, start:
     return df.join(heads, ["symbol", "_bk"]).withColumn(name, (rank + F.col("_n") + (start - 1)).cast("long")).drop("_bk", "_n")
 
 
-def as_of(points: DataFrame, clock: DataFrame, value: list[str], forward: bool = False, exact: bool = True) -> DataFrame:
+def as_of(points: DataFrame, clock: DataFrame, value: list[str], forward: bool = False, exact: bool = True, size: int = DAY_US) -> DataFrame:
     """points (symbol, us, ...) with the clock's columns at the nearest us before (or after) them.
 
-    Both sides meet in one ordered pass; ties count only if exact. Unmatched points get nulls.
+    Both sides meet in ordered blocks of time; what no block has inside comes from the
+    nearest block that has a clock row. Ties count only if exact. Unmatched points get nulls.
     """
+    whole = F.struct(*value)
+    c = clock.select("symbol", "us", *value).withColumn("_blk", block_of("us", size))
+    heads = c.groupBy("symbol", "_blk").agg((F.min_by if forward else F.max_by)(whole, F.col("us")).alias("_l"))
+    every = points.select("symbol", block_of("us", size).alias("_blk")).distinct().join(heads, ["symbol", "_blk"], "full")
+    edge = Window.partitionBy("symbol").orderBy(F.col("_blk").desc() if forward else F.col("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("symbol", "_blk", F.last("_l", True).over(edge).alias("_h"))
     a = points.withColumns({f"_c_{c}": F.lit(None).cast(clock.schema[c].dataType) for c in value}).withColumn("_p", F.lit(True))
     rest = [c for c in points.columns if c not in ("symbol", "us")]
     b = clock.select("symbol", "us", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in rest), *(F.col(c).alias(f"_c_{c}") for c in value), F.lit(False).alias("_p"))
     order = [F.col("us").desc() if forward else F.col("us").asc(), F.col("_p").asc() if exact else F.col("_p").desc()]
-    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b)
-    return both.withColumns({c: F.last(F.when(~F.col("_p"), F.struct(F.col(f"_c_{c}").alias("v"))), True).over(w)["v"] for c in value}).where("_p").drop("_p", *(f"_c_{c}" for c in value))
+    w = Window.partitionBy("symbol", "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("_blk", block_of("us", size))
+    inside = F.last(F.when(~F.col("_p"), F.struct(*(F.col(f"_c_{c}").alias(c) for c in value))), True).over(w)
+    both = both.withColumn("_in", inside).where("_p").join(every, ["symbol", "_blk"])
+    found = F.coalesce("_in", "_h")
+    return both.withColumns({c: found[c] for c in value}).drop("_p", "_blk", "_in", "_h", *(f"_c_{c}" for c in value))

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions import stats
-from tickforge.functions.windows import as_of
-
-
-
-def _w() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("us")
+from tickforge.functions.windows import as_of, carried, rolling, running
 
 
 @dataclass(frozen=True)
@@ -39,22 +34,22 @@ class BacktestResult:
 
 def backtest_path(position: DataFrame, bars: DataFrame, costs: CostModel = CostModel(), initial: float = 1.0) -> DataFrame:  # noqa: B008
     """The position held over each bar is the one known at the bar before."""
-    clock = bars.select("symbol", "us", F.col("close").cast("double").alias("close"))
+    clock = stats.in_order(bars).select("symbol", "bar_seq", "us", F.col("close").cast("double").alias("close"))
     p = as_of(clock, position.select("symbol", "us", F.col("position").alias("position")), ["position"])
     p = p.withColumn("position", F.greatest(F.least(F.coalesce("position", F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)))
-    p = p.withColumn("held", F.coalesce(F.lag("position").over(_w()), F.lit(0.0)))
-    p = p.withColumn("gross", F.coalesce(F.col("held") * (F.col("close") / F.lag("close").over(_w()) - 1), F.lit(0.0)))
-    p = p.withColumn("turnover", F.abs(F.col("held") - F.coalesce(F.lag("held").over(_w()), F.lit(0.0))))
+    before = lambda c, w, k: F.coalesce(F.lag(c, k).over(w), F.lit(0.0))
+    p = rolling(p, "bar_seq", 2, [lambda w: {"held": before("position", w, 1), "_earlier": before("position", w, 2), "_from": F.lag("close").over(w)}])
+    p = p.withColumn("gross", F.coalesce(F.col("held") * (F.col("close") / F.col("_from") - 1), F.lit(0.0)))
+    p = p.withColumn("turnover", F.abs(F.col("held") - F.col("_earlier"))).drop("_from", "_earlier")
     p = p.withColumn("cost", costs.cost(F.col("turnover"))).withColumn("ret", F.col("gross") - F.col("cost"))
-    grow = F.product(1 + F.col("ret")).over(_w().rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("equity", initial * grow)
+    return running(p, "bar_seq", {"_grown": 1 + F.col("ret")}, how="product").withColumn("equity", initial * F.col("_grown")).drop("_grown")
 
 
 def bet_returns(path: DataFrame) -> DataFrame:
     """(symbol, us, ret): change of equity between consecutive bet ends."""
-    ends = stats.bet_timing(path).select("symbol", "us")
-    e = path.select("symbol", "us", "equity").join(ends, ["symbol", "us"], "left_semi")
-    return e.withColumn("ret", F.col("equity") / F.lag("equity").over(_w()) - 1).where("ret IS NOT NULL").select("symbol", "us", "ret")
+    ends = stats.bet_timing(stats.in_order(path)).select("symbol", "bar_seq", "us", "equity")
+    e = carried(ends, "bar_seq", "_from", F.col("equity"), strict=True)
+    return e.withColumn("ret", F.col("equity") / F.col("_from") - 1).where("ret IS NOT NULL").select("symbol", "us", "ret")
 
 
 def run_backtest(position: DataFrame, bars: DataFrame, costs: CostModel = CostModel(), periods: float | None = None, initial: float = 1.0, n_trials: int = 1, var_trials: float = 0.0, target: float = 1.0) -> BacktestResult:  # noqa: B008

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.windows import numbered
+from tickforge.functions.windows import as_of, numbered
 
 
 def positions(labels: DataFrame) -> DataFrame:
@@ -67,10 +67,10 @@ def purged_kfold(labels: DataFrame, k: int = 3, embargo: float = 0.0) -> DataFra
     f = folded(labels, k)
     bounds = f.groupBy("symbol", "fold").agg(F.min("us").alias("_lo"), F.max("t1").alias("_hi"), F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.max("_n").alias("_n"))
     # where the fold's last end falls: the number of starts before it
-    starts = labels.select("symbol", F.col("us").alias("_us"))
-    right = bounds.join(starts, "symbol").groupBy("symbol", "fold").agg(F.count(F.when(F.col("_us") < F.col("_hi"), 1)).alias("_r"))
+    starts = labels.groupBy("symbol", "us").agg((F.max("pos") + 1).alias("_r"))
+    right = as_of(bounds.select("symbol", "fold", F.col("_hi").alias("us")), starts, ["_r"], exact=False).select("symbol", "fold", F.coalesce("_r", F.lit(0)).alias("_r"))
     bounds = bounds.join(right, ["symbol", "fold"]).withColumn("_from", F.col("_r") + F.floor(F.col("_n") * F.lit(embargo)))
-    all_ = labels.select("symbol", "pos", "t1").join(F.broadcast(bounds) if k <= 64 else bounds, "symbol")
+    all_ = labels.select("symbol", "pos", "t1").join(bounds, "symbol")
     test = (F.col("pos") >= F.col("_a")) & (F.col("pos") <= F.col("_b"))
     train = ~test & ((F.col("t1") <= F.col("_lo")) | (F.col("pos") >= F.col("_from")))
     return all_.withColumn("role", F.when(test, "test").when(train, "train")).where("role IS NOT NULL").select("symbol", "fold", "role", "pos")
@@ -82,7 +82,7 @@ def purged_walk_forward(labels: DataFrame, k: int = 6, embargo: float = 0.01, mi
     l = labels.join(n, "symbol").withColumn("_f", F.floor(F.col("_n") * F.lit(min_train)))  # noqa: E741
     l = l.withColumn("_fold", F.when(F.col("pos") >= F.col("_f"), fold_of(F.col("pos") - F.col("_f"), F.col("_n") - F.col("_f"), k)))  # noqa: E741
     bounds = l.where("_fold IS NOT NULL").groupBy("symbol", F.col("_fold").alias("fold")).agg(F.min("us").alias("_lo"), F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.max("_n").alias("_m"))
-    b = l.join(F.broadcast(bounds) if k <= 64 else bounds, "symbol")
+    b = l.join(bounds, "symbol")
     test = (F.col("pos") >= F.col("_a")) & (F.col("pos") <= F.col("_b"))
     train = (F.col("pos") < F.col("_a") - F.floor(F.col("_m") * F.lit(embargo))) & (F.col("t1") < F.col("_lo"))
     out = b.withColumn("role", F.when(test, "test").when(train, "train")).where("role IS NOT NULL").select("symbol", "fold", "role", "pos")
@@ -104,8 +104,11 @@ def overlap_audit(labels: DataFrame, k: int = 5, embargo: float = 0.01) -> DataF
 
 
 def make_classifier(seed: int = 0, trees: int = 300, features: str = "features", label: str = "y", weight: str = "weight") -> RandomForestClassifier:
-    """A forest of shallow-feature trees: one feature a split, entropy, heavy leaves; class balance goes into the weights."""
-    return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=trees, featureSubsetStrategy="1", impurity="entropy", minWeightFractionPerNode=0.05, subsamplingRate=0.6, maxDepth=12, seed=seed)
+    """A forest of shallow-feature trees: one feature a split, entropy, heavy leaves; class balance goes into the weights.
+
+    Leaves hold 5 % of the weight at least, so trees have 20 leaves at most; depth is bounded by 19 splits for that alone.
+    """
+    return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=trees, featureSubsetStrategy="1", impurity="entropy", minWeightFractionPerNode=0.05, subsamplingRate=0.6, maxDepth=19, seed=seed)
 
 
 def assembled(data: DataFrame, names: list[str]) -> DataFrame:

@@ -11,26 +11,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.windows import as_of
+from tickforge.functions.windows import as_of, carried, rolling
 
 #: Bars in a block of the interval join, about the span of a label.
 SPAN = 64
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("bar_seq")
     x = F.log(F.col("close").cast("double"))
-    return bars.withColumn("r", x - F.lag(x).over(w))
+    return rolling(bars, "bar_seq", 1, [lambda w: {"r": x - F.lag(x).over(w)}])
 
 
 def horizon_returns(bars: DataFrame, horizon_us: int) -> DataFrame:
     """(symbol, bar_seq, us, ret): return since the last bar strictly before us - horizon; rows without one are left out."""
-    base = bars.select("symbol", "bar_seq", "us", F.col("close").cast("double").alias("close"))
-    w = Window.partitionBy("symbol").orderBy("us").rangeBetween(Window.unboundedPreceding, -(horizon_us + 1))
-    return base.withColumn("_p", F.last("close").over(w)).where("_p IS NOT NULL").select("symbol", "bar_seq", "us", (F.col("close") / F.col("_p") - 1).alias("ret"))
+    close = F.col("close").cast("double")
+    points = bars.select("symbol", (F.col("us") - horizon_us).alias("us"), F.col("us").alias("_us"), "bar_seq", close.alias("close"))
+    base = as_of(points, bars.select("symbol", "us", close.alias("_from")), ["_from"], exact=False)
+    return base.where("_from IS NOT NULL").select("symbol", "bar_seq", F.col("_us").alias("us"), (F.col("close") / F.col("_from") - 1).alias("ret"))
 
 
 @dataclass
@@ -106,8 +106,8 @@ def cusum_filter(bars: DataFrame, h: float | DataFrame, backfill: bool = True) -
     """(symbol, bar_seq, us) of events. h: a number, or (symbol, bar_seq, h) taken forward, and back at the start unless backfill is off."""
     r = log_returns(bars).where("r IS NOT NULL").select("symbol", "bar_seq", "us", "r")
     if isinstance(h, DataFrame):
-        w = Window.partitionBy("symbol").orderBy("bar_seq").rowsBetween(Window.unboundedPreceding, 0)
-        r = r.join(h.select("symbol", "bar_seq", F.col("h").cast("double").alias("h")), ["symbol", "bar_seq"], "left").withColumn("h", F.last("h", True).over(w))
+        r = r.join(h.select("symbol", "bar_seq", F.col("h").cast("double").alias("_given")), ["symbol", "bar_seq"], "left")
+        r = carried(r, "bar_seq", "h", F.col("_given")).drop("_given")
         first = h.where("h IS NOT NULL").groupBy("symbol").agg(F.min_by(F.col("h").cast("double"), "bar_seq").alias("_f"))
         r = r.join(first, "symbol").withColumn("h", F.coalesce("h", "_f") if backfill else F.col("h")).where("h IS NOT NULL").drop("_f")
     else:

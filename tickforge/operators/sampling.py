@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.windows import running
+from tickforge.functions.windows import DAY_US, block_of, numbered, running
 from tickforge.operators.labeling import log_returns, ordinal
 
 
@@ -33,10 +33,12 @@ def num_co_events(labels: DataFrame, bars: DataFrame) -> DataFrame:
 
 def _over_span(s: DataFrame, values: DataFrame, value: Column) -> DataFrame:
     """s with total, the sum of a value over bars s..e. values: (symbol, bar_seq, ...)."""
-    p = running(values.withColumn("_v", value), "bar_seq", {"_sum": "_v"}).select("symbol", "bar_seq", "_sum", F.coalesce("_v", F.lit(0.0)).alias("_v"))
+    # decimals: differences of long sums lose no digits
+    exact = F.coalesce(value.cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
+    p = running(values.withColumn("_v", exact), "bar_seq", {"_sum": "_v"}).select("symbol", "bar_seq", "_sum", "_v")
     ends = p.select("symbol", F.col("bar_seq").alias("e"), F.col("_sum").alias("_hi"))
     starts = p.select("symbol", F.col("bar_seq").alias("s"), (F.col("_sum") - F.col("_v")).alias("_lo"))
-    return s.join(ends, ["symbol", "e"]).join(starts, ["symbol", "s"]).withColumn("total", F.col("_hi") - F.col("_lo")).drop("_hi", "_lo")
+    return s.join(ends, ["symbol", "e"]).join(starts, ["symbol", "s"]).withColumn("total", (F.col("_hi") - F.col("_lo")).cast("double")).drop("_hi", "_lo")
 
 
 def avg_uniqueness(labels: DataFrame, bars: DataFrame, co: DataFrame | None = None) -> DataFrame:
@@ -69,15 +71,31 @@ def draw_reference(start: np.ndarray, end: np.ndarray, n_bars: int, length: int,
 
 
 def draw(start: np.ndarray, end: np.ndarray, n_bars: int, length: int, rng: np.random.Generator) -> np.ndarray:
-    """Sequential bootstrap with prefix sums: each draw costs the bars once."""
-    c, out = np.zeros(n_bars), np.empty(length, np.int64)
-    width = end - start + 1
-    for k in range(length):
-        p = np.concatenate([[0.0], np.cumsum(1 / (c + 1))])
-        u = (p[end + 1] - p[start]) / width
-        out[k] = rng.choice(len(start), p=u / u.sum())
-        c[start[out[k]] : end[out[k]] + 1] += 1
-    return out
+    """Sequential bootstrap that keeps every label's mean uniqueness: a draw changes those that overlap the drawn span, by what its bars lose.
+
+    Labels are visited in order of their start. No label that ends before the span is
+    behind the first one whose furthest end so far reaches it.
+    """
+    by = np.argsort(start, kind="stable")
+    lo, hi = start[by], end[by]
+    furthest = np.maximum.accumulate(hi)
+    taken = np.zeros(n_bars, np.int64)
+    uniqueness = np.ones(len(by))
+    picks = []
+    back = np.argsort(by)
+    while len(picks) < length:
+        mass = np.cumsum(uniqueness[back])
+        label = int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
+        picks.append(label)
+        a, b = int(start[label]), int(end[label]) + 1
+        now = taken[a:b] + 1
+        lost = np.concatenate([[0.0], np.cumsum(1 / now - 1 / (now + 1))])
+        taken[a:b] = now
+        near = slice(int(np.searchsorted(furthest, a)), int(np.searchsorted(lo, b)))
+        left, right = np.maximum(lo[near], a) - a, np.minimum(hi[near] + 1, b) - a
+        share = lost[np.maximum(right, left)] - lost[left]
+        uniqueness[near] -= share / (hi[near] + 1 - lo[near])
+    return np.array(picks, np.int64)
 
 
 def seq_bootstrap(labels: DataFrame, bars: DataFrame, seeds: list[int], length: int | None = None, method: str = "fast") -> DataFrame:
@@ -115,9 +133,8 @@ def time_decay(uniqueness: DataFrame, last_w: float = 1.0) -> DataFrame:
     """(symbol, us, w): linear in cumulative uniqueness; the newest has 1, the oldest last_w; negative last_w erases the oldest share."""
     if last_w <= -1:
         raise ValueError("last_w must be above -1")
-    w = Window.partitionBy("symbol").orderBy("us")
-    t = uniqueness.withColumn("_n", F.row_number().over(w)).withColumnRenamed("us", "_us")
-    t = running(t, "_n", {"_cum": "tW"}).withColumnRenamed("_us", "us")
+    t = numbered(uniqueness, "_rank", ["us"], block_of("us", DAY_US)).withColumnRenamed("us", "_us")
+    t = running(t, "_rank", {"_cum": "tW"}).withColumnRenamed("_us", "us")
     total = uniqueness.groupBy("symbol").agg(F.sum("tW").alias("_c"))
     slope = (1 - last_w) / F.col("_c") if last_w >= 0 else 1 / ((last_w + 1) * F.col("_c"))
     decay = F.greatest(F.lit(0.0), 1 - slope * F.col("_c") + slope * F.col("_cum"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.normal import cdf_column
-from tickforge.functions.windows import running
+from tickforge.functions.windows import DAY_US, running
 
 
 def prob_to_size(p: Column, pred: Column | None = None, classes: int = 2) -> Column:
@@ -21,14 +21,16 @@ def prob_to_size(p: Column, pred: Column | None = None, classes: int = 2) -> Col
 def avg_active_signals(signals: DataFrame) -> DataFrame:
     """(symbol, us, position) at every start and end: mean of the bets open there, from start up to, not at, the end; 0 without any.
 
-    signals: (symbol, us, t1, signal), an open end being null.
+    signals: (symbol, us, t1, signal), an open end being null. Signals are added as
+    decimals of 18 places, so a bet that closes leaves nothing behind, whatever the order.
     """
-    start = signals.select("symbol", "us", F.col("signal").cast("double").alias("v"), F.lit(1).alias("n"))
-    end = signals.where("t1 IS NOT NULL").select("symbol", F.col("t1").alias("us"), -F.col("signal").cast("double"), F.lit(-1))
+    exact = F.col("signal").cast("double").cast("decimal(38,18)")
+    start = signals.select("symbol", "us", exact.alias("v"), F.lit(1).alias("n"))
+    end = signals.where("t1 IS NOT NULL").select("symbol", F.col("t1").alias("us"), -exact, F.lit(-1))
     step = start.union(end).groupBy("symbol", "us").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     ranked = step.withColumn("_at", F.col("us"))
-    blocks = running(ranked, "_at", {"_v": "v", "_n": "n"}, 86_400_000_000)  # a block is a day
-    return blocks.select("symbol", "us", F.when(F.col("_n") == 0, 0.0).otherwise(F.col("_v") / F.col("_n")).alias("position"))
+    blocks = running(ranked, "_at", {"_v": "v", "_n": "n"}, DAY_US)
+    return blocks.select("symbol", "us", F.when(F.col("_n") == 0, 0.0).otherwise(F.col("_v").cast("double") / F.col("_n")).alias("position"))
 
 
 def discrete_signal(signal: Column, step: float) -> Column:

@@ -339,9 +339,9 @@ cu AS (
   SELECT symbol, bar_seq, us, CASE WHEN NOT down < -0.5 AND up > 0.5 THEN 0 ELSE up END, CASE WHEN down < -0.5 THEN 0 ELSE down END, CASE WHEN down < -0.5 OR up > 0.5 THEN 1 ELSE 0 END FROM (
     SELECT lr.symbol, lr.bar_seq, lr.us, greatest(0, cu.up + lr.r) AS up, least(0, cu.down + lr.r) AS down FROM cu JOIN lr ON lr.symbol = cu.symbol AND lr.bar_seq = cu.bar_seq + 1)),
 ev AS MATERIALIZED (SELECT symbol, bar_seq, us FROM cu WHERE fired = 1)"""
-#: Every third bar is an event, so that labels overlap.
+#: Every bar is an event.
 LABELS = VOL + f""",
-e0 AS (SELECT symbol, bar_seq, us FROM b WHERE bar_seq % 3 = 0),
+e0 AS (SELECT symbol, bar_seq, us FROM b),
 e1 AS MATERIALIZED (SELECT e0.*, (SELECT min(b.us) FROM b WHERE b.symbol = e0.symbol AND b.us >= e0.us + {HOLDING}) AS v1 FROM e0),
 e2 AS MATERIALIZED (SELECT e1.symbol, e1.us, e1.v1, v.trgt, CASE WHEN e1.bar_seq % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM e1 JOIN v USING (symbol, us) WHERE v1 IS NOT NULL AND v.trgt > 0.01),
 pa AS (SELECT e2.*, b.us AS hit, (CAST(b.close AS DOUBLE) / p.close - 1) * {{side}} AS mv FROM e2 JOIN b p ON p.symbol = e2.symbol AND p.us = e2.us JOIN b ON b.symbol = e2.symbol AND b.us BETWEEN e2.us AND e2.v1),
@@ -361,7 +361,7 @@ def target(s, d) -> DataFrame:
 def events(s, d, sided: bool = False) -> DataFrame:
     def make():
         b = bars(s, d)
-        e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "bar_seq", "us"), b, HOLDING)
+        e = L.add_vertical_barrier(b.select("symbol", "bar_seq", "us"), b, HOLDING)
         if sided:
             e = e.withColumn("side", F.when(F.col("bar_seq") % 2 == 0, 1.0).otherwise(-1.0))
         return L.get_events(b, e.drop("bar_seq"), (1.0, 0.5), target(s, d), 0.01)
@@ -393,7 +393,7 @@ def _(s, d):
 @query("lb4_touches", f"WITH {labels_sql()} SELECT symbol, us, pt_us, sl_us FROM to_")
 def _(s, d):
     b = bars(s, d)
-    e = L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING).join(target(s, d).select("symbol", "us", "trgt"), ["symbol", "us"]).where("trgt > 0.01")
+    e = L.add_vertical_barrier(b.select("symbol", "us"), b, HOLDING).join(target(s, d).select("symbol", "us", "trgt"), ["symbol", "us"]).where("trgt > 0.01")
     return L.touches(b, e.withColumn("side", F.lit(1.0)), 1.0, 1.0).select("symbol", "us", "pt_us", "sl_us")
 
 
@@ -427,15 +427,15 @@ def _(s, d):
     return L.drop_labels(bars(s, d).select("symbol", "bar_seq", bin_.alias("bin")), 0.4)
 
 
-@query("lb8_primary_side", f"WITH {BARS} SELECT symbol, us, CASE WHEN signed_dollar < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS side FROM b WHERE bar_seq % 3 = 0")
+@query("lb8_primary_side", f"WITH {BARS} SELECT symbol, us, CASE WHEN signed_dollar < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS side FROM b")
 def _(s, d):
     b = bars(s, d)
-    return L.primary_side(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, "signed_dollar")
+    return L.primary_side(b.select("symbol", "us"), b, "signed_dollar")
 
 
-# --- weights: labels of a day from every third bar ---
+# --- weights: labels of a day from every bar ---
 SPANS = BARS + f""",
-l AS MATERIALIZED (SELECT * FROM (SELECT symbol, us, (SELECT min(c.us) FROM b c WHERE c.symbol = b.symbol AND c.us >= b.us + {HOLDING}) AS t1 FROM b WHERE bar_seq % 3 = 0) WHERE t1 IS NOT NULL),
+l AS MATERIALIZED (SELECT * FROM (SELECT symbol, us, (SELECT min(c.us) FROM b c WHERE c.symbol = b.symbol AND c.us >= b.us + {HOLDING}) AS t1 FROM b) WHERE t1 IS NOT NULL),
 co AS MATERIALIZED (SELECT b.symbol, b.bar_seq, b.us, count(l.us) AS c, ln(any_value(b.close)) AS lc FROM b LEFT JOIN l ON l.symbol = b.symbol AND b.us BETWEEN l.us AND l.t1 GROUP BY b.symbol, b.bar_seq, b.us),
 cr AS MATERIALIZED (SELECT *, lc - lag(lc) OVER (PARTITION BY symbol ORDER BY bar_seq) AS r FROM co),
 tw AS MATERIALIZED (SELECT l.symbol, l.us, l.t1, avg(1.0 / c) AS tW, abs(sum(r / c)) AS w FROM l JOIN cr ON cr.symbol = l.symbol AND cr.us BETWEEN l.us AND l.t1 GROUP BY ALL),
@@ -446,7 +446,7 @@ td AS MATERIALIZED (SELECT symbol, us, greatest(0, 1 - 0.5 / tot * tot + 0.5 / t
 def spans(s, d) -> DataFrame:
     def make():
         b = bars(s, d)
-        return L.add_vertical_barrier(b.where("bar_seq % 3 = 0").select("symbol", "us"), b, HOLDING)
+        return L.add_vertical_barrier(b.select("symbol", "us"), b, HOLDING)
 
     return kept(s, "spans", d, make)
 
@@ -510,10 +510,11 @@ def places(s, d) -> DataFrame:
     return kept(s, "places", d, lambda: cv.positions(spans(s, d)))
 
 
-@query("cv1_get_train_times", f"WITH {POS} SELECT symbol, us, t1 FROM po a WHERE NOT EXISTS (SELECT 1 FROM po x WHERE x.symbol = a.symbol AND x.pos % 10 = 4 AND a.us <= x.t1 AND a.t1 >= x.us)")
+@query("cv1_get_train_times", f"WITH {POS} SELECT symbol, us, t1 FROM po a WHERE NOT EXISTS (SELECT 1 FROM po x WHERE x.symbol = a.symbol AND x.fold = 1 AND a.us <= x.t1 AND a.t1 >= x.us)")
 def _(s, d):
     p = places(s, d)
-    return cv.get_train_times(p, p.where("pos % 10 = 4").select("symbol", F.col("us").alias("lo"), F.col("t1").alias("hi"))).select("symbol", "us", "t1")
+    tests = cv.kfold(p, 3).where("fold = 1 AND role = 'test'").select("symbol", "pos").join(p, ["symbol", "pos"])
+    return cv.get_train_times(p, tests.select("symbol", F.col("us").alias("lo"), F.col("t1").alias("hi"))).select("symbol", "us", "t1")
 
 
 @query("cv2_embargo_times", f"WITH {POS} SELECT a.symbol, a.us, coalesce(x.us, (SELECT max(us) FROM po z WHERE z.symbol = a.symbol)) AS embargo_us FROM po a LEFT JOIN po x ON x.symbol = a.symbol AND x.pos = a.pos + CAST(floor(a.n * 0.1) AS BIGINT)")
@@ -558,7 +559,7 @@ def _(s, d):
 
 
 # --- sizing, backtest, statistics ---
-SIG = SPANS + ", sg AS MATERIALIZED (SELECT symbol, us, t1, (us // 1000000 % 21 - 10) / 10.0 AS signal FROM l)"
+SIG = SPANS + ", sg AS MATERIALIZED (SELECT symbol, us, t1, CAST((us // 1000000 % 21 - 10) / 10.0 AS DECIMAL(18,9)) AS signal FROM l)"
 ACT = SIG + """,
 pt AS (SELECT symbol, us FROM sg UNION SELECT symbol, t1 FROM sg),
 ac AS MATERIALIZED (SELECT pt.symbol, pt.us, coalesce(avg(signal), 0) AS position FROM pt LEFT JOIN sg ON sg.symbol = pt.symbol AND sg.us <= pt.us AND pt.us < sg.t1 GROUP BY ALL)"""
@@ -579,7 +580,7 @@ def _(s, d):
     return bars(s, d).select("symbol", "bar_seq", F.round(sizing.prob_to_size(F.col("buy_volume") / F.col("volume")), 6).alias("size"))
 
 
-@query("bs4_discrete_signal", f"WITH {SIG} SELECT symbol, us, round(least(greatest(round_even(signal / 0.25, 0) * 0.25, -1), 1), 6) AS position FROM sg")
+@query("bs4_discrete_signal", f"WITH {SIG} SELECT symbol, us, round(least(greatest(round_even(CAST(signal AS DOUBLE) / 0.25, 0) * 0.25, -1), 1), 6) AS position FROM sg")
 def _(s, d):
     return signals(s, d)[0].select("symbol", "us", F.round(sizing.discrete_signal(F.col("signal"), 0.25), 6).alias("position"))
 
@@ -613,9 +614,9 @@ def _(s, d):
     return bars(s, d).select("symbol", "bar_seq", F.round(bt.CostModel(slippage_coef=1e-4).cost(F.col("n_ticks") / 10.0), 6).alias("cost"))
 
 
-@query("bt4_run_backtest", f"WITH {BT} SELECT symbol, us, round(position, 6) AS position, round(gross, 6) AS gross, round(cost, 6) AS cost, round(equity, 6) AS equity FROM p")
+@query("bt4_run_backtest", f"WITH {BT} SELECT symbol, us, round(position, 6) AS position, round(gross, 6) AS gross, round(cost, 9) AS cost, round(equity, 6) AS equity FROM p")
 def _(s, d):
-    return rounded(path(s, d).select("symbol", "us", "position", "gross", "cost", "equity"), "position", "gross", "cost", "equity")
+    return rounded(path(s, d).select("symbol", "us", "position", "gross", F.round("cost", 9).alias("cost"), "equity"), "position", "gross", "equity")
 
 
 @query("bt3_bet_returns", f"WITH {BT} SELECT symbol, us, round(ret, 6) AS ret FROM bets")
