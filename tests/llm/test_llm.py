@@ -177,7 +177,8 @@ def test_packing(spark, fixture):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(packing.tokenizer_path())
-    own.encode_special_tokens = True
+    t = t | {95: "a <|endoftext|> b", 96: "<|endoftext|>" * 70}
+    docs = docs.unionByName(spark.createDataFrame([(i, t[i], "en", "s", 1, 2, "clash", 3) for i in (95, 96)], SCHEMA))
     got = collections.defaultdict(list)
     bins = collections.defaultdict(list)
     for r in packing.pack(docs, packing.tokenizer_path(), 64, ids=True).collect():
@@ -194,6 +195,15 @@ def test_packing(spark, fixture):
             at += length
         assert at <= 64
     assert packing.pack(empty(spark), packing.tokenizer_path()).count() == 0
+    import zlib
+
+    import numpy as np
+
+    for r in packing.pack(docs, packing.tokenizer_path(), 64, ids=True).collect():
+        whole = np.array([*own.encode(t[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes())
+    twice = spark.createDataFrame([(None, "x"), (None, "x"), (3, "y"), (3, "z")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packing.pack(twice, packing.tokenizer_path()).collect()) == [(0, 2), (0, 2), (3, 2), (3, 2)]
 
 
 def test_best_fit_takes_the_fullest_bin_and_closes_it_when_full():
@@ -245,6 +255,51 @@ def test_language(spark):
     assert langid.language_id(docs.where("doc_id < 0"), langid.vocabulary_path()).count() == 0
 
 
+def test_forward_sums_all_segmentations():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b" a", b"abc", b"bca", b" abcabc", "é".encode()]
+    keys = np.unique(langid.mix(np.array([langid.hash_of(p) for p in pieces], np.uint64)))
+    model = langid.Model(["x", "y"], keys, r.random((len(keys), 2)), 7)
+    prob = {p: model.probs[np.searchsorted(keys, langid.mix(np.array([langid.hash_of(p)], np.uint64))[0])] for p in pieces}
+
+    def every(w):
+        return np.ones(2) if not w else sum(prob[w[:k]] * every(w[k:]) for k in range(1, 8) if w[:k] in prob and len(w) >= k)
+
+    words = [b"abcabc", b"a", "abéabca".encode(), b"zz"]
+    assert np.allclose(langid.forward(model, words), np.log([every(b" " + w) for w in words]))
+    long = b"abcab" * 200  # one matrix of its own, scaled on the way
+    sums = [np.ones(2)]
+    text = b" " + long
+    scale = np.zeros(2)
+    for j in range(1, len(text) + 1):
+        now = sum(sums[-k] * prob[text[j - k : j]] for k in range(1, min(7, len(sums)) + 1) if text[j - k : j] in prob)
+        sums = [s / now for s in [*sums[-7:], now]]
+        scale += np.log(now)
+    assert np.allclose(langid.forward(model, [long])[0], scale)
+
+
+def test_masks_find_what_they_promise():
+    import itertools
+
+    def found(words, gone, masks):
+        return any(all(o + k not in gone for k, c in enumerate(m) if c == "1") for m in masks for o in range(words - len(m) + 1))
+
+    assert all(found(13, set(g), decontaminate.MASKS) for g in itertools.combinations(range(13), 3))
+    assert all(found(n, {g}, decontaminate.MASKS) for n in range(8, 13) for g in range(n))
+
+
+def test_decontamination_of_short_and_long(spark):
+    short, tiny, eight = "five words are just enough", "only four words here", "an item of eight words with one changed"
+    long = " ".join(f"w{k}" for k in range(300))
+    said = " ".join(f"v{k}" for k in range(30000))
+    rows = [(1, f"x {short} y"), (2, "five words are nearly enough"), (3, f"so {tiny} is"), (4, eight.replace("eight", "nine")), (5, eight.replace("eight words", "nine things")), (6, f"{said} {long} {said}"), (None, short)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, item_id int, shift string")
+    bench = spark.createDataFrame([(k, x, 0) for k, x in enumerate([short, tiny, eight, long, long])], "item_id long, text string, place int")
+    assert {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs, bench).collect()} == {1: [0], 4: [2], 6: [3, 4]}
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     near = item.replace("delta", "DIFFERENT").replace("mu nu", "mu other")

@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def digested(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, a, b, p0..) of each row: the set's size, 128-bit digest and parity bitmap; a names the set."""
+    """(doc_id, tag, size, a, b, p0..) of each row: a hash of the text, the set's size, 128-bit digest and parity bitmap; a names the set."""
 
     def sign(batches):
         for batch in batches:
@@ -126,10 +126,11 @@ def digested(docs: DataFrame, n: int) -> DataFrame:
                 odd = (np.bincount(s.doc * width + (mix(s.h) >> U(9)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1).astype(np.uint8)
                 parity = np.packbits(odd.reshape(-1, width), axis=1).view("<i8")
                 bits = [pa.array(np.ascontiguousarray(parity[:, k])) for k in range(PARITY)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(s.size, pa.int64()), pa.array(s.digest()), pa.array(s.digest(SECOND)), *bits], names=["doc_id", "size", "a", "b", *BITS])
+                row = [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(s.size, pa.int64()), pa.array(s.digest()), pa.array(s.digest(SECOND)), *bits]
+                yield pa.RecordBatch.from_arrays(row, names=["doc_id", "tag", "size", "a", "b", *BITS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, size long, a long, b long, {', '.join(c + ' long' for c in BITS)}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(sign, f"doc_id {kind}, tag long, size long, a long, b long, {', '.join(c + ' long' for c in BITS)}")
 
 
 def can_link(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -359,8 +360,8 @@ def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, per
     return label
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIECE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIECE, tag: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document; with xxhash64(text) as tag, if asked for.
 
     The set of a text is that of its distinct n-word shingles over lower-cased (A-Z)
     words; with fewer words, the whole sequence as one; null and blank texts have
@@ -385,9 +386,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIE
         classes = classes.join(least.hint("merge"), "component", "left").select("a", "b", "size", F.coalesce("lowest", "least").alias("component_id"))
     else:
         classes = classes.select("a", "b", "size", F.col("least").alias("component_id"))
-    grouped = real.join(classes.hint("merge"), ["a", "b", "size"]).select("doc_id", "size", "component_id")
-    rest = members.where("size = 0 OR doc_id IS NULL").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(rest).withColumnRenamed("size", "n_shingles")
+    names = ["doc_id", F.col("size").alias("n_shingles"), "component_id", *["tag"] * tag]
+    grouped = real.join(classes.hint("merge"), ["a", "b", "size"]).select(*names)
+    return grouped.unionByName(members.where("size = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).select(*names))
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
