@@ -31,14 +31,15 @@ def hashed(text: Column) -> Column:
 
 def seeds(rows: DataFrame, key: str, masks: list[str]) -> DataFrame:
     """(key, place, seed) of every window; rows: (key, h). All masks look at the same hashes."""
-    every = []
-    for mask in masks:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
-        last = F.size("h") - len(mask)
-        at = lambda i, picked=picked, mask=mask: F.struct(i.alias("place"), F.xxhash64(F.lit(mask), *(F.get("h", i + k) for k in picked)).alias("seed"))
-        every.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)))
     none = F.array().cast("array<struct<place:int,seed:bigint>>")
-    out = rows.select(key, F.explode(F.concat(*(F.coalesce(e, none) for e in every))).alias("s"))
+
+    def under(mask: str) -> Column:
+        picked = [k for k, c in enumerate(mask) if c == "1"]
+        last = F.size("h") - len(mask)
+        seed = lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(mask), *(F.get("h", i + k) for k in picked)).alias("seed"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), seed)).otherwise(none)
+
+    out = rows.select(key, F.explode(F.concat(*map(under, masks))).alias("s"))
     return out.select(key, F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
 
 

@@ -7,9 +7,10 @@ equal weight; partial overlaps are counted in each fragment and summed
 per pair, which is exact.
 
 Groups of near copies aren't expanded into pairs. In each round every set names the one
-nearest to it, by a parity bitmap, of those in other components; the named pairs are
-counted and their components join. Once few named pairs still link, all pairs
-that are left across components and pass the bitmap's bound are counted.
+nearest to it, by a parity bitmap, of those in other components that share an n-gram of the
+round's stretch; the named pairs are counted and their components join. Once few named
+pairs still link, all pairs that are left across components, share any prefix n-gram
+and pass the bitmap's bound are counted.
 """
 
 from __future__ import annotations
@@ -224,8 +225,7 @@ def fragments(docs: DataFrame, order, n: int) -> DataFrame:
                 names = pa.array(np.repeat(s.digest(), FRAGMENTS))
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(FRAGMENTS), hi - lo), pa.int32()), grams], names=["node", "fragment", "grams"])
 
-    # rows of one set are equal
-    return docs.select("text").mapInArrow(cut, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
+    return docs.select("text").mapInArrow(cut, "node long, fragment int, grams array<long>")
 
 
 def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | None, buckets: int, percent: int, salt: int, every: bool) -> DataFrame:
@@ -301,12 +301,18 @@ def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | Non
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for each pair: partial overlaps are counted in each fragment, then summed."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    cut = cut.join(small(wanted), "node", "left_semi")
-    left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")).hint("merge"), "a")
-    both = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")).hint("merge"), ["b", "fragment"])
+def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """(a, b, linked) for each pair of sets: partial overlaps are counted in each fragment, then summed.
+
+    sets: (node, doc_id, ...) names a document of each set. Only these texts are read, and each set
+    is sent, cut into its fragments, once for each of its pairs.
+    """
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))).alias("s")).select("s.*")
+    ids = sets.select("node", "doc_id").join(small(sides.select("node").distinct()), "node", "left_semi").select("doc_id").distinct()
+    cut = fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n)
+    sent = cut.join(small(sides), "node")
+    side = lambda c: F.first(F.when(F.col("node") == F.col(c), F.col("grams")), True)
+    both = sent.groupBy("a", "b", "fragment").agg(side("a").alias("left"), side("b").alias("right"))
     counted = both.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left") + F.size("right")).alias("both"))
     total = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.sum("both").alias("both"))
     return total.select("a", "b", (100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).alias("linked"))
@@ -328,35 +334,24 @@ def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, per
     large = scratch.save(large.select("gram", F.ceil(F.col("count") / piece).cast("int").alias("pieces")), "large")
     pieces = None if large.isEmpty() else large
     scratch.drop("entries")
-    label, tried, cut, k, more = None, None, None, 0, True
+    label, tried = None, None
+    k, last = 0, False
     while True:
-        pairs = compared(points, label, pieces, buckets, percent, k, not more)
-        if not more:
+        # a round sees one stretch of all n-grams, the last one all of them
+        seen = points if last else points.where(F.shiftrightunsigned("gram", 61) == k)
+        pairs = compared(seen, label, pieces, buckets, percent, k, last)
+        if last and tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{k}")
-        # the texts of one member of each set that is in a pair for the first time
-        new = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if cut is not None:
-            new = new.join(cut.select("node").distinct(), "node", "left_anti")
-        ids = scratch.save(sets.select("node", "doc_id").join(new, "node").select("doc_id").distinct(), f"ids{k}")
-        if not ids.isEmpty():
-            more_cut = scratch.save(fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n), f"fragments{k}")
-            cut = more_cut if cut is None else cut.unionByName(more_cut)
-        if cut is None:
-            return None
-        checked = scratch.save(linked(pairs, cut, percent), f"checked{k}")
+        checked = scratch.save(linked(docs, sets, pairs, order, n, percent), f"checked{k}")
         named, good = checked.agg(F.count("*"), F.sum(F.col("linked").cast("long"))).first()
         tried = checked if tried is None else tried.unionByName(checked)
         if good:
             label = components(scratch, tried.where("linked").select("a", "b"))
-        if not more:
+        if last:
             break
-        if not k and pieces is None:
-            # a set that has named none has none to link with
-            points = scratch.save(points.join(small(new), "node", "left_semi"), "open")
-            scratch.drop("points")
-        scratch.drop(f"pairs{k}", f"ids{k}")
-        more, k = 2 * (good or 0) > named, k + 1
+        k, last = k + 1, 2 * (good or 0) <= named or k == 7
+    scratch.drop("points", "sets", "large")
     return label
 
 
@@ -382,8 +377,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, piece: int = PIE
     if label is not None:
         classes = classes.join(label.select(F.col("node").alias("a"), "component").hint("merge"), "a", "left")
         classes = scratch.save(classes, "classes")
-        least = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
-        classes = classes.join(least.hint("merge"), "component", "left").select("a", "b", "size", F.coalesce("lowest", "least").alias("component_id"))
+        joined = classes.where("component IS NOT NULL")
+        least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+        joined = joined.join(least.hint("merge"), "component").select("a", "b", "size", "component_id")
+        classes = joined.unionByName(classes.where("component IS NULL").select("a", "b", "size", F.col("least").alias("component_id")))
     else:
         classes = classes.select("a", "b", "size", F.col("least").alias("component_id"))
     names = ["doc_id", F.col("size").alias("n_shingles"), "component_id", *["tag"] * tag]
