@@ -338,7 +338,7 @@ def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, per
     k, last = 0, False
     while True:
         # a round sees one stretch of all n-grams, the last one all of them
-        seen = points if last else points.where(F.shiftrightunsigned("gram", 61) == k)
+        seen = points if last else points.where(F.shiftrightunsigned(F.xxhash64("gram"), 61) == k)
         pairs = compared(seen, label, pieces, buckets, percent, k, last)
         if last and tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")

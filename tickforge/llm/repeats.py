@@ -38,8 +38,10 @@ def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def dealt(e: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, packed records) for records in order of s."""
-    where = (e["s"] >> U(64 - max(1, (buckets - 1).bit_length()))).astype(np.int64)
+    """(bucket, packed records) by s. Least hashes are small numbers, so they are mixed before they choose a bucket."""
+    where = (mix(e["s"]) >> U(64 - max(1, (buckets - 1).bit_length()))).astype(np.int64)
+    by = np.argsort(where, kind="stable")
+    e, where = e[by], where[by]
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(e) else []
     return [(int(where[i]), packed(e[i:j])) for i, j in zip(cuts, [*cuts[1:], len(e)][: len(cuts)], strict=True)]
 
