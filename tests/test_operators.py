@@ -117,3 +117,53 @@ def test_models_learn_from_the_events_table(spark, tmp_path):
     assert {(x["symbol"], x["pos"]) for x in q.Q["cv8_oof_predict_proba"](spark, d).collect()} == tested and {x[0] for x in tested} == {"a", "b"}
     assert {x["feature"] for x in q.Q["im2_feat_imp_mda"](spark, d).collect()} == set(names)
     assert q.Q["im5_ortho_features"](spark, d).count() == len(at) and q.Q["cv4_cv_score"](spark, d).count() == 2
+    assert {x["protocol"] for x in q.Q["cv6_compare_cv"](spark, d).collect()} == {"naive", "purged", "purged_embargo"}
+    assert sum(x["mean"] for x in q.Q["im1_feat_imp_mdi"](spark, d).collect()) == pytest.approx(1)
+    report = q.Q["im7_feature_importance_report"](spark, d).collect()
+    assert {x["feature"] for x in report} == set(names[:4]) and [x["mda"] for x in report] == sorted((x["mda"] for x in report), reverse=True)
+
+
+def costs_of(path):
+    return {r["metric"]: r["value"] for r in path.summary.collect()}
+
+
+def test_backtest_laws(spark):
+    from tickforge.operators import backtest
+
+    r = np.random.default_rng(0)
+    b = closes(spark, 100 * np.exp(np.cumsum(r.normal(0, 0.004, 200))))
+    signs = [("s", i * HOUR, float(np.sign(np.sin(i / 7)))) for i in range(0, 200, 3)]
+    p = spark.createDataFrame(signs, "symbol string, us long, position double")
+    path = {x["us"]: x for x in backtest.backtest_path(p, b).collect()}
+    prices = [x["close"] for x in b.orderBy("us").collect()]
+    known = dict((u, v) for _, u, v in signs)
+    held = 0.0
+    for i in range(200):  # a position known at a bar earns from the next one on
+        if i:
+            assert path[i * HOUR]["gross"] == pytest.approx(held * (prices[i] / prices[i - 1] - 1))
+        held = known.get(i * HOUR, held)
+    free, dear = (backtest.run_backtest(p, b, backtest.CostModel(c, 0.0)) for c in (0.0, 0.01))
+    assert costs_of(free)["total_cost"] == 0 and costs_of(dear)["sharpe"] < costs_of(free)["sharpe"] == pytest.approx(costs_of(free)["gross_sharpe"])
+    late = backtest.backtest_path(p.where(F.col("us") > 50 * HOUR), b).where(F.col("us") <= 50 * HOUR)
+    assert late.where("position <> 0 OR equity <> 1").isEmpty()
+
+
+def test_blocks_of_time_equal_whole_symbols(spark):
+    from tickforge.functions.windows import as_of
+
+    r = np.random.default_rng(1)
+    clock = spark.createDataFrame([("s", int(u), int(u)) for u in np.unique(r.integers(0, 3000, 80))], "symbol string, us long, v long")
+    points = spark.createDataFrame([("s", int(u), k) for k, u in enumerate(r.integers(-50, 3100, 200))], "symbol string, us long, k long")
+    times = sorted(x["us"] for x in clock.collect())
+    for forward in (False, True):
+        for exact in (False, True):
+            got = {x["k"]: (x["us"], x["v"]) for x in as_of(points, clock, ["v"], forward, exact, 100).collect()}
+            for u, v in got.values():
+                ok = [t for t in times if (t > u if forward else t < u) or (exact and t == u)]
+                assert v == ((min if forward else max)(ok) if ok else None)
+
+
+def test_bet_ends_leave_no_residue(spark):
+    s = spark.createDataFrame([("s", k, k + 7, [0.1, 0.2, -0.3, 0.7][k % 4]) for k in range(40)], "symbol string, us long, t1 long, signal double")
+    got = {r["us"]: r["position"] for r in sizing.avg_active_signals(s).collect()}
+    assert got[46] == 0.0 and all(p == 0 or abs(p) > 1e-9 for p in got.values())

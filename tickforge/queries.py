@@ -750,6 +750,46 @@ def _(s, d):
     return cv.oof_predict_proba(cv.make_classifier(1, 5), data, names, split)
 
 
+@query("cv6_compare_cv")
+def _(s, d):
+    data, names, split = learned(s, d)
+    if split.isEmpty():
+        return s.createDataFrame([], "protocol string, mean double, std double, min double, max double")
+    got = cv.compare_cv(cv.make_classifier(1, 5), data, names, data.select("symbol", "us", "t1", "pos"), 2, 0.05)
+    return s.createDataFrame([(k, *(float(v[c]) for c in ("mean", "std", "min", "max"))) for k, v in got.items()], "protocol string, mean double, std double, min double, max double")
+
+
+def table_of(s, table: pd.DataFrame) -> DataFrame:
+    """A driver-side table with a row for each feature."""
+    kinds = ", ".join(f"{c} double" for c in table.columns)
+    return s.createDataFrame([(str(k), *map(float, row)) for k, row in zip(table.index, table.to_numpy(), strict=True)], f"feature string, {kinds}")
+
+
+@query("im1_feat_imp_mdi")
+def _(s, d):
+    data, names, split = learned(s, d)
+    if split.isEmpty():
+        return s.createDataFrame([], "feature string, mean double, std double")
+    model = cv.make_classifier(1, 5).fit(cv.balanced(cv.assembled(data, names)))
+    return table_of(s, importance.feat_imp_mdi(model, names))
+
+
+@query("im3_feat_imp_sfi")
+def _(s, d):
+    data, names, split = learned(s, d)
+    if split.isEmpty():
+        return s.createDataFrame([], "feature string, mean double, std double")
+    return table_of(s, importance.feat_imp_sfi(cv.make_classifier(1, 5), data, names[:4], split))
+
+
+@query("im7_feature_importance_report")
+def _(s, d):
+    data, names, split = learned(s, d)
+    if split.isEmpty():
+        return s.createDataFrame([], "feature string, mdi double, mda double, mda_std double, sfi double")
+    return table_of(s, importance.feature_importance_report(cv.make_classifier(1, 5), data, names[:4], split, seed=1))
+
+
 @query("im2_feat_imp_mda")
 def _(s, d):
     data, names, split = learned(s, d)

@@ -95,14 +95,18 @@ def simulate_arrays(cfg: TickSimConfig) -> tuple[pd.DataFrame, pd.DataFrame]:
 
 
 def simulate(spark: SparkSession, configs: dict[str, TickSimConfig]) -> DataFrame:
-    """One simulated tape for each symbol, made in parallel on the executors."""
+    """One simulated tape for each symbol, made in parallel on the executors and emitted in pieces."""
     todo = spark.createDataFrame([(k, json.dumps(c.as_dict())) for k, c in configs.items()], "symbol string, config string")
 
-    def make(key, rows):
-        ticks, _ = simulate_arrays(TickSimConfig(**json.loads(rows["config"].iloc[0])))
-        return ticks.assign(symbol=key[0])[["symbol", "seq", "us", "price", "volume", "dollar"]]
+    def make(batches):
+        for rows in batches:
+            for symbol, config in zip(rows["symbol"], rows["config"], strict=True):
+                ticks, _ = simulate_arrays(TickSimConfig(**json.loads(config)))
+                for lo in range(0, len(ticks), 1 << 17):
+                    yield ticks.iloc[lo : lo + (1 << 17)].assign(symbol=symbol)[["symbol", "seq", "us", "price", "volume", "dollar"]]
 
-    out = todo.groupBy("symbol").applyInPandas(make, "symbol string, seq long, us long, price double, volume double, dollar double")
+    dealt = todo.repartition(len(configs), "symbol")
+    out = dealt.mapInPandas(make, "symbol string, seq long, us long, price double, volume double, dollar double")
     return out.withColumn("ts", F.timestamp_micros("us")).select("symbol", "seq", "ts", "us", "price", "volume", "dollar")
 
 
