@@ -25,7 +25,7 @@ LEARNED = 32
 #: Bytes from which a word is segmented on its own, and starts in it that are looked up together.
 LONG, STRETCH = 256, 4096
 #: Bytes of text whose distinct words are scored together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 UNKNOWN = "und"
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -109,9 +109,9 @@ def forward(model: Model, words: list[bytes]) -> np.ndarray:
     Only the sums that the longest piece can still reach are held; they are scaled on the way.
     """
     out = np.zeros((len(words), len(model.langs)))
-    ring = model.longest + 1
     for at, letters in by_length([b" " + w for w in words]):
         m, n = letters.shape
+        ring = min(model.longest, n) + 1
         sums = np.zeros((ring, m, len(model.langs)))
         sums[0] = 1
         logs = np.zeros((m, len(model.langs)))
