@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for _, _, buf, offsets in slices(batch.column(0), 1 << 21):
+            for _, _, buf, offsets in slices(batch.column(0)):
                 total += np.bincount((shingles(buf, offsets, n)[1] >> U(42)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         cells = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["block", "cells"])

@@ -24,8 +24,8 @@ STEPS, SMOOTH = 3, 0.05
 LEARNED = 32
 #: Bytes from which a word is segmented on its own, and starts in it that are looked up together.
 LONG, STRETCH = 256, 4096
-#: Bytes of text whose distinct words are scored together.
-TOGETHER = 1 << 22
+#: Distinct words whose scores a task remembers.
+REMEMBERED = 1 << 17
 UNKNOWN = "und"
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -164,15 +164,38 @@ def fit(path: str, counted: dict[tuple[str, str], int]) -> Model | None:
     return Model(langs, keys, probs, longest)
 
 
-def score(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Memory:
+    """Scores of words that were seen before, by their hashes; it starts anew when it is full."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.keys, self.logs = np.zeros(0, U), np.zeros((0, len(model.langs)))
+
+    def scores(self, hashes: np.ndarray, word) -> np.ndarray:
+        """Log likelihoods for sorted distinct hashes; word(k) gives the bytes of the k-th."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        out = np.empty((len(hashes), len(self.model.langs)))
+        out[known] = self.logs[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = forward(self.model, [word(k) for k in new])
+        if len(self.keys) + len(new) > REMEMBERED:
+            self.keys, self.logs = hashes, out
+        elif len(new):
+            keys, logs = np.concatenate([self.keys, hashes[new]]), np.concatenate([self.logs, out[new]])
+            by = np.argsort(keys)
+            self.keys, self.logs = keys[by], logs[by]
+        return out
+
+
+def score(memory: Memory, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(index of the best language, -1 without a letter; its share of the likelihood) of each text."""
     best, share = np.full(len(texts), -1), np.zeros(len(texts))
-    for lo, hi, buf, offsets in slices(texts, TOGETHER):
+    for lo, hi, buf, offsets in slices(texts):
         w = Words(buf, offsets)
-        _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        distinct, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        distinct = [raw[w.starts[i] : w.ends[i]] for i in first]
-        logs = forward(model, distinct)[inverse]
+        logs = memory.scores(distinct, lambda k: raw[w.starts[first[k]] : w.ends[first[k]]])[inverse]  # noqa: B023
         sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
         total = sums[w.first[1:]] - sums[w.first[:-1]]
         top = total.argmax(axis=1)
@@ -208,12 +231,13 @@ def language_id(docs: DataFrame, path: str, train: str = "crc32(cast(doc_id AS s
 
     def predict(batches):
         m = shared.value
+        memory = Memory(m) if m else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             if m is None:
                 names, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
-                best, share = score(m, texts)
+                best, share = score(memory, texts)
                 names = [m.langs[k] if k >= 0 else UNKNOWN for k in best]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
