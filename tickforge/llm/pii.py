@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 SIZE, STRIDE = 128, 96
 #: Windows at most that the network is trained on, half of them with base spans, the first by a hash of document and place.
 SAMPLE = 1600
-STEPS, BATCH, HIDDEN, EMBED, RATE = 200, 64, 12, 12, 0.02
+STEPS, BATCH, HIDDEN, EMBED, RATE = 150, 64, 12, 12, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none; begin and inside of each kind
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -219,8 +219,8 @@ class Network:
         """The most likely tags of each window."""
         s = self.quick_scores(x)
         tags = np.zeros(x.shape, np.int8)
-        # where no step of another path can be worth more than one of no tag at all, that path is the best
-        room = np.float32(self.p["T"].max() - self.p["T"][0, 0])
+        # a run of k tags changes k + 1 transitions, so where each step with a tag loses more than two of them can gain, no tag at all is the best path
+        room = np.float32(2 * (self.p["T"].max() - self.p["T"][0, 0]))
         unsure = np.flatnonzero((s[:, :, 0] - s[:, :, 1:].max(2)).min(1) <= room)
         if len(unsure):
             tags[unsure] = self.best_path(s[unsure])
