@@ -66,6 +66,20 @@ def test_jaccard(spark, fixture):
     assert jaccard.near_groups(empty(spark), 4, 85).count() == 0
 
 
+def test_wide_bitmaps_bound_from_below(spark):
+    r = random.Random(3)
+    words = ["w" + str(k) for k in range(9000)]
+    base = [r.choice(words) for _ in range(3000)]
+    texts = [" ".join(base), " ".join(base[:2600]), " ".join(base[:1000] + [r.choice(words) for _ in range(1900)]), " ".join(r.choice(words) for _ in range(700)), "one two three four five"]
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    rows = jaccard.wide_parity(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 4).collect()
+    assert [x["size"] for x in rows] == [len(s) for s in sets]
+    pairs = spark.createDataFrame([(i, j, x["bits"], y["bits"]) for i, x in enumerate(rows) for j, y in enumerate(rows)], "i int, j int, x array<long>, y array<long>")
+    got = {(p["i"], p["j"]): p["d"] for p in pairs.select("i", "j", jaccard.apart(F.col("x"), F.col("y")).alias("d")).collect()}
+    assert all(d <= len(sets[i] ^ sets[j]) for (i, j), d in got.items()) and all(got[i, i] == 0 for i in range(5))
+    assert got[0, 2] * 185 > 15 * (len(sets[0]) + len(sets[2]))  # 512 bits could not tell these apart
+
+
 def test_jaccard_of_repeated_ids(spark):
     r = random.Random(9)
     base = ["w" + str(r.randrange(500)) for _ in range(57)]
@@ -430,5 +444,5 @@ def test_network_finds_held_out_spans():
 
 
 def test_spans_are_widened_to_whole_runs():
-    assert pii.whole("call 4155552671 now", 6, 9, 0) == (5, 15) and pii.whole("a  b", 1, 3, 0) == (1, 1)
+    assert pii.whole("call 4155552671 now", 6, 9, 0) == (5, 15) and pii.whole("a  b", 1, 3, 0) == (3, 3)
     assert pii.whole("4155552671", 3, 6, 4) == (4, 10)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm.kernels import Prefix, U, Words, mix, slices
@@ -228,6 +228,51 @@ def fragments(docs: DataFrame, order, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(cut, "node long, fragment int, grams array<long>")
 
 
+def wide_parity(docs: DataFrame, n: int) -> DataFrame:
+    """(node, size, bits): parity bitmaps as wide as half of the set at least, in 64-bit words; docs: (text)."""
+
+    def sign(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch.column(0)):
+                s = Sets(buf, offsets, n, None)
+                words = np.maximum(PARITY, 1 << np.ceil(np.log2(np.maximum(s.size, 1) / 128)).clip(0).astype(np.int64))
+                at = np.concatenate([[0], np.cumsum(words)])
+                cell = (mix(s.h) >> U(9)).astype(np.int64) & (64 * words[s.doc] - 1)
+                odd = (np.bincount(64 * at[s.doc] + cell, minlength=64 * int(at[-1])) & 1).astype(np.uint8)
+                bits = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.packbits(odd).view("<i8")))
+                yield pa.RecordBatch.from_arrays([pa.array(s.digest()), pa.array(s.size, pa.int64()), bits], names=["node", "size", "bits"])
+
+    return docs.select("text").mapInArrow(sign, "node long, size long, bits array<long>")
+
+
+def apart(left: Column, right: Column) -> Column:
+    """Bits in which two bitmaps differ; the wider one is folded to the other's width, which keeps it a bitmap of the same set."""
+
+    def folded(wide: Column, narrow: Column) -> Column:
+        times = F.size(wide) / F.size(narrow)
+        step = lambda i: F.slice(wide, (i * F.size(narrow) + 1).cast("int"), F.size(narrow))
+        return F.aggregate(F.sequence(F.lit(1), (times - 1).cast("int")), step(F.lit(0)), lambda acc, i: F.zip_with(acc, step(i), lambda x, y: x.bitwiseXOR(y)))
+
+    one = F.when(F.size(left) > F.size(right), folded(left, right)).otherwise(left)
+    two = F.when(F.size(right) > F.size(left), folded(right, left)).otherwise(right)
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
+def plausible(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that wide bitmaps don't rule out; the narrow ones say nothing of sets with thousands of elements."""
+    bits, sides = of_pairs(docs, sets, pairs, lambda texts: wide_parity(texts, n))
+    side = lambda c, v: F.first(F.when(F.col("node") == F.col(c), F.col(v)), True)
+    both = bits.join(small(sides), "node").groupBy("a", "b").agg(side("a", "bits").alias("left"), side("b", "bits").alias("right"), side("a", "size").alias("n"), side("b", "size").alias("m"))
+    return both.where((100 + percent) * apart(F.col("left"), F.col("right")) <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def of_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, make) -> tuple[DataFrame, DataFrame]:
+    """(make() of a text of each set that is in a pair, (node, a, b) for both sides of each pair); sets: (node, doc_id, ...)."""
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))).alias("s")).select("s.*")
+    ids = sets.select("node", "doc_id").join(small(sides.select("node").distinct()), "node", "left_semi").select("doc_id").distinct()
+    return make(docs.join(small(ids), "doc_id", "left_semi")), sides
+
+
 def compared(points: DataFrame, label: DataFrame | None, pieces: DataFrame | None, buckets: int, percent: int, salt: int, every: bool) -> DataFrame:
     """(a, b): pairs of sets in different components that share a prefix n-gram and may link by sizes, places and bitmaps.
 
@@ -307,9 +352,7 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, order, n: int, pe
     sets: (node, doc_id, ...) names a document of each set. Only these texts are read, and each set
     is sent, cut into its fragments, once for each of its pairs.
     """
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))).alias("s")).select("s.*")
-    ids = sets.select("node", "doc_id").join(small(sides.select("node").distinct()), "node", "left_semi").select("doc_id").distinct()
-    cut = fragments(docs.join(small(ids), "doc_id", "left_semi"), order, n)
+    cut, sides = of_pairs(docs, sets, pairs, lambda texts: fragments(texts, order, n))
     sent = cut.join(small(sides), "node")
     side = lambda c: F.first(F.when(F.col("node") == F.col(c), F.col("grams")), True)
     both = sent.groupBy("a", "b", "fragment").agg(side("a").alias("left"), side("b").alias("right"))
@@ -342,7 +385,8 @@ def connected(scratch: Scratch, docs: DataFrame, members: DataFrame, n: int, per
         pairs = compared(seen, label, pieces, buckets, percent, k, last)
         if last and tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{k}")
+        pairs = scratch.save(pairs, f"named{k}")
+        pairs = scratch.save(plausible(docs, sets, pairs, n, percent), f"pairs{k}")
         checked = scratch.save(linked(docs, sets, pairs, order, n, percent), f"checked{k}")
         named, good = checked.agg(F.count("*"), F.sum(F.col("linked").cast("long"))).first()
         tried = checked if tried is None else tried.unionByName(checked)
