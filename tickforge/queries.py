@@ -580,7 +580,7 @@ def _(s, d):
     return bars(s, d).select("symbol", "bar_seq", F.round(sizing.prob_to_size(F.col("buy_volume") / F.col("volume")), 6).alias("size"))
 
 
-@query("bs4_discrete_signal", f"WITH {SIG} SELECT symbol, us, round(least(greatest(round_even(CAST(signal AS DOUBLE) / 0.25, 0) * 0.25, -1), 1), 6) AS position FROM sg")
+@query("bs4_discrete_signal", f"WITH {SIG} SELECT symbol, us, round(least(greatest(round_even(((us // 1000000 % 21 - 10) / 10.0) / 0.25, 0) * 0.25, -1), 1), 6) AS position FROM sg")
 def _(s, d):
     return signals(s, d)[0].select("symbol", "us", F.round(sizing.discrete_signal(F.col("signal"), 0.25), 6).alias("position"))
 
