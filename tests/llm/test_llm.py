@@ -111,6 +111,16 @@ def test_byte_substrings(spark, fixture):
     assert substrings.substring_dedup(empty(spark)).count() == 0
 
 
+def test_places_in_other_batches_know_of_each_other(spark):
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    other = "".join("#" if k % 300 == 299 else c for k, c in enumerate(text))  # shares triggers, but no window
+    for rows in ([(1, text), (2, other), (3, text), (4, "x")], [(1, other), (2, text), (3, "x"), (4, text)], [(3, text), (2, other), (1, text), (4, "x")]):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+        got = {x["doc_id"]: x["n_removed"] for x in substrings.substring_dedup(docs).collect()}
+        assert got == {i: 9000 * (t == text) for i, t in rows}
+
+
 def test_suffix_order():
     import numpy as np
 
